@@ -62,7 +62,8 @@ def statistics(df: DataFrame, text: str = "text", out: str = "__stats") -> DataF
         "mean_word": per(c, n), "symbol_rate": per(F.col("__y"), n), "dup_line_rate": per(dup, lines), "repeat_rate": per(F.col("__r"), n), "upper_rate": per(upper, c),
         "bar_rate": per(one("|"), n), "shout_rate": per(one("!"), n), "digit_rate": per(count("0123456789"), c), "words_per_line": per(n, lines),
     }
-    return t.select(*names, F.struct(*(v.alias(k) for k, v in stats.items())).alias(out))
+    # The generator keeps later filters above it: pushed below, they would repeat these expressions for each word.
+    return t.select(*names, F.explode(F.array(F.struct(*(v.alias(k) for k, v in stats.items())))).alias(out))
 
 
 def base_failed(stats: Column) -> Column:
