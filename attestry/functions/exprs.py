@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,11 +79,15 @@ def tensor_hash(data: Column) -> Column:
     return F.substring(F.sha2(data, 256), 1, 16)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value made once, where a lambda would make it anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    e = F.transform(logits, lambda x: F.exp(x.cast("double") - top))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    exps = lambda top: F.transform(logits, lambda x: F.exp(x.cast("double") - top))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return let(let(F.array_max(logits), exps), lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
 def argmax(values: Column) -> Column:
@@ -104,8 +110,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """v / |v|; a zero vector stays zero."""
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    return let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0)))
 
 
 def embed_text(name: Column, doc: Column) -> Column:

@@ -214,12 +214,14 @@ def issues(df: DataFrame) -> DataFrame:
 
 
 def duplicate_ids(df: DataFrame) -> DataFrame:
-    """Every occurrence of an id but the first, by ``input_seq``.
+    """Every occurrence of an id but the first, by ``input_seq``; of a tie for the first place all but one.
 
-    The first is found by a pre-aggregated minimum, so that one id with many records is no sort in one task.
+    Occurrences are counted before they are compared, so that one id with many records is no sort in one task.
     """
-    first = df.where("id <> ''").groupBy("id").agg(F.min("input_seq").alias("__first"))
-    return df.join(first, "id").where("input_seq > __first").select(F.col("id").alias("record_id"), "input_seq")
+    places = df.where("id <> ''").groupBy("id", "input_seq").agg(F.count("*").cast("int").alias("n"))
+    first = places.groupBy("id").agg(F.min("input_seq").alias("first"))
+    again = F.array_repeat(F.lit(0), F.col("n") - (F.col("input_seq") == F.col("first")).cast("int"))
+    return places.join(first, "id").select(F.col("id").alias("record_id"), "input_seq", F.explode(again)).drop("col")
 
 
 def issue_counts(found: DataFrame) -> DataFrame:

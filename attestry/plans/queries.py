@@ -578,7 +578,7 @@ def _log(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("seq", seq)
     one = F.array(F.array(F.lit(1), (c("event_id") % 10).cast("int")))
     return e.select(
-        c("user_id").alias("chain_id"), "seq", (F.unix_micros("ts") * 1000).alias("timestamp"), F.concat(F.lit("m"), c("event_id") % 13).alias("module_name"), c("event_type").alias("operator_type"), one.alias("input_shapes"),
+        c("user_id").alias("chain_id"), "seq", (F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)") * 1000).alias("timestamp"), F.concat(F.lit("m"), c("event_id") % 13).alias("module_name"), c("event_type").alias("operator_type"), one.alias("input_shapes"),
         F.array(F.lit(1), F.lit(5)).alias("output_shape"), F.substring(F.sha2(c("event_id").cast("string"), 256), 1, 16).alias("output_hash"), F.lit("cpu").alias("device"),
     )
 
