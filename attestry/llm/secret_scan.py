@@ -95,8 +95,8 @@ def findings(df: DataFrame, id_col: str = "doc_id", text: str = "text", ledger:
 
 
 def mask(df: DataFrame, text: str = "text", ledger: str | None = None, count: str | None = "n_chars") -> DataFrame:
-    """``df`` with every finding replaced by ``[SECRET:kind]``; overlapping findings become one of the first
-    kind. Columns keep their names, order and types; ``count``, if ``df`` has it, holds the new length."""
+    """``df`` with every finding replaced by ``[MASKED:kind]``; overlapping findings become one of the first
+    kind. What stands in is no finding itself, so a second scan is clean. Columns keep their names, order and types; ``count``, if ``df`` has it, holds the new length."""
     spark = df.sparkSession
     ledger = ledger or f"{Scratch(spark, 'secrets').root}/ledger"
     known = update_ledger(df, ledger, text)
@@ -114,7 +114,7 @@ def _masked(text, spans):
     start = F.struct(F.lit("").alias("done"), F.lit(0).alias("at"))
 
     def step(acc, s):
-        piece = F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[SECRET:"), s["kind"], F.lit("]"))
+        piece = F.concat(acc["done"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("[MASKED:"), s["kind"], F.lit("]"))
         inside = s["start"] < acc["at"]
         return F.struct(F.when(inside, acc["done"]).otherwise(piece).alias("done"), F.greatest(acc["at"], s["stop"]).alias("at"))
 
