@@ -162,16 +162,34 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     return fp.join(named, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
+def _row_keys(df: DataFrame) -> DataFrame:
+    """``df`` with ``__r1`` and ``__r2``, 128 bits over all columns of a row: only rows alike in all share them."""
+    marked = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return df.select("*", F.xxhash64(F.lit(1), *marked).alias("__r1"), F.xxhash64(F.lit(2), *marked).alias("__r2"))
+
+
+def _one_each(df: DataFrame, rows: DataFrame, comp: DataFrame, node: str, scratch: Scratch) -> DataFrame:
+    """One row of ``df`` for each component: of its rows in ``rows`` the one with the least id, null last.
+
+    Rows with one id are told apart by ``node``, then by the hash of the row, so that a retry picks the same.
+    """
+    named = rows.join(comp.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
+    order = F.struct(F.col("__id").isNull().alias("no_id"), "__id", node, "__r1", "__r2")
+    first = scratch.save(named.groupBy("root").agg(F.min(order).alias("at")).select("at.__r1", "at.__r2"), "first")
+    return _row_keys(df).join(first, ["__r1", "__r2"], "left_semi").dropDuplicates(["__r1", "__r2"]).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
     """The rows of ``df`` that stand for their group of near copies: one row for each component.
 
-    The row with the least id stays. Rows with one id are one document, of which one row stays. Columns are
-    those of ``df``.
+    The row with the least id stays. Ids are no keys: rows whose id is null or repeated are grouped by their
+    texts like all others. Columns are those of ``df``.
     """
-    comp = simhash_components(df, id_col, text, k)
-    first = comp.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    kept = df.join(first, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates([id_col])
+    scratch = Scratch(df.sparkSession, "simhash")
+    keyed = _row_keys(df).select(F.col(id_col).alias("__id"), F.col(text).alias("__t"), "__r1", "__r2")
+    rows = scratch.save(with_fingerprint(keyed, "__t", ("__id", "__r1", "__r2"), "fp", k), "rows")
+    comp = scratch.save(components(links(rows.select("fp").distinct(), scratch), scratch), "components")
+    return _one_each(df, rows, comp, "fp", scratch)
 
 
 def to_hex(col):

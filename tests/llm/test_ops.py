@@ -114,6 +114,16 @@ def test_simhash_edges(spark):
     assert simhash.simhash_components(d.limit(0)).count() == 0
 
 
+def test_one_row_is_kept_for_each_component_not_for_each_id(spark):
+    """Null and repeated ids: texts that are copies of nothing stay, whatever their ids."""
+    texts = [f"{w} runs over hill number {w} and {w} sees nothing" for w in "ant bee cat dog elk".split()]
+    rows = [(None, texts[0]), (None, texts[1]), (None, None), (None, ""), (7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[4]), (None, texts[1])]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = [(7, texts[2]), (7, texts[3]), (8, texts[4]), (None, texts[0]), (None, texts[1])]
+    got = [(r.doc_id, r.text) for r in simhash.keep_one(d).collect()]
+    assert sorted(((i, t) for i, t in got if t), key=str) == sorted(want, key=str) and len(got) == len(want) + 1
+
+
 def test_components_follow_chains(spark):
     scratch, n = Scratch(spark, "t"), 40
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(99, 99), (None, 5), (70, 71), (71, 70)], "a bigint, b bigint")
