@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 from .components import components
+from .line_dedup import settle
 
 SEED, SHINGLE = 42, 3
+#: Near copies by similarity: minima a key, keys a text, and the Jaccard similarity that links.
+ROWS, BANDS, THRESHOLD = 4, 14, 0.8
 #: (shift, bits) of the segments.
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 _POLY = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the (23, 12) code
@@ -192,5 +195,78 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     return _one_each(df, rows, comp, "fp", scratch)
 
 
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 64, ROWS * BANDS, np.uint64) | np.uint64(1)
+
+
+def shingle_set(text: str | None, k: int) -> tuple[bytes, np.ndarray]:
+    """The words joined by a space, and the hashes of the different shingles, sorted; words as in ``fingerprint``."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    grams = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else ()
+    return b" ".join(words), np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """``BANDS`` keys, each of ``ROWS`` minima; texts at a similarity of s share one with 1 - (1 - s^ROWS)^BANDS."""
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), 4096):
+        least = np.minimum(least, (hashes[i : i + 4096, None] * _ODD).min(axis=0))
+    rows = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(rows[b].tobytes(), b) - (1 << 63) for b in range(BANDS)]
+
+
+def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(text, id and row hash) -> (id and row hash, node, n, bands); a text without words has no bands."""
+    for b in batches:
+        node, n, bands = [], [], []
+        for t in b.column(0).to_pylist():
+            joined, h = shingle_set(t, k)
+            node.append(xxhash.xxh3_128_digest(joined))
+            n.append(len(h))
+            bands.append(band_keys(h) if len(h) else [])
+        arrays = [*(b.column(i) for i in range(1, b.num_columns)), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names[1:], "node", "n", "bands"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(text, id) -> (id, h)."""
+    for b in batches:
+        h = [shingle_set(t, k)[1].view(np.int64) for t in b.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(h, pa.list_(pa.int64()))], names=["id", "h"])
+
+
+def keep_one_alike(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, threshold: float = THRESHOLD) -> DataFrame:
+    """As ``keep_one``, with texts linked if the Jaccard similarity of their shingle sets reaches ``threshold``.
+
+    At a similarity of 0.8 about 10 of 64 fingerprint bits differ, a distance that Golay keys do not span and that
+    texts with nothing in common come near, so MinHash keys name the candidates. Each is verified by the
+    sets themselves; the buckets are settled in rounds (``line_dedup.settle``), so that no candidate is left out.
+    Texts with the same words are one node, and texts without words another.
+    """
+    scratch = Scratch(df.sparkSession, "alike")
+    keyed = _row_keys(df).select(F.col(text).cast("string").alias("__t"), F.col(id_col).alias("__id"), "__r1", "__r2")
+    kind = keyed.schema["__id"].dataType.simpleString()
+    rows = scratch.save(keyed.mapInArrow(lambda it: _signed(it, k), f"__id {kind}, __r1 bigint, __r2 bigint, node binary, n bigint, bands array<bigint>"), "rows")
+    node = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("__r1", "__r2")).alias("at"))
+    node = scratch.save(node.withColumnRenamed("node", "id"), "nodes")
+    banded = node.select("id", "n", F.explode("bands").alias("band")).withColumn("r", F.xxhash64("id"))
+    hot = banded.groupBy("band").agg(F.min("r").alias("upto"), F.count("*").alias("m")).where("m > 1")
+    todo = scratch.save(hot.select("band", F.lit(None).cast("long").alias("after"), "upto", F.col("m").alias("n")), "buckets")
+    # The bucket's size is ``n`` in the table of buckets, so a set's is ``size`` among the members.
+    member = scratch.save(banded.withColumnRenamed("n", "size").join(todo.select("band"), "band"), "members")
+    at = node.join(member.select("id").distinct(), "id", "left_semi").select("id", "at.__r1", "at.__r2")
+    texts = keyed.join(at, ["__r1", "__r2"]).dropDuplicates(["__r1", "__r2"]).select("__t", "id")
+    sets = scratch.save(texts.mapInArrow(lambda it: _sets(it, k), "id binary, h array<bigint>"), "sets")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        x = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("x")), "a")
+        xy = x.join(sets.select(F.col("id").alias("b"), F.col("h").alias("y")), "b")
+        n = xy.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("common"))
+        return n.where(F.col("common") >= threshold * (F.col("x") + F.col("y") - F.col("common"))).select("a", "b")
+
+    near = F.least("size", "p_size") >= threshold * F.greatest("size", "p_size")
+    comp = scratch.save(settle(member, todo, scratch, alike, near), "components")
+    return _one_each(df, rows, comp, "node", scratch)
+
+
 def to_hex(col):
     return F.lower(F.lpad(F.hex(col), 16, "0"))

@@ -124,6 +124,29 @@ def test_one_row_is_kept_for_each_component_not_for_each_id(spark):
     assert sorted(((i, t) for i, t in got if t), key=str) == sorted(want, key=str) and len(got) == len(want) + 1
 
 
+def test_near_copies_are_linked_at_their_similarity(spark):
+    """The pipeline's stage removes copies from 0.8 on, not only exact ones, and no others."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(120)] for _ in range(12)]
+    texts = [" ".join(w) for w in base]
+    for w in base:
+        for n in (1, 2, 3, 6):
+            x = list(w)
+            for place in rng.sample(range(10, 110), n):
+                x[place] = "changed"
+            texts.append(" ".join(x))
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    jaccard = lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+    find = closure((a, b) for b in range(len(texts)) for a in range(b) if jaccard(a, b) >= 0.8)
+    want = {find(i) for i in range(len(texts))}
+    assert {r.doc_id for r in cp.simhash_dedup(spark, d, "").collect()} == want
+    assert len(want) < len(texts)
+    assert simhash.keep_one_alike(d.limit(0)).count() == 0
+
+
 def test_components_follow_chains(spark):
     scratch, n = Scratch(spark, "t"), 40
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(99, 99), (None, 5), (70, 71), (71, 70)], "a bigint, b bigint")
