@@ -413,12 +413,16 @@ def dedup_merge(spark, sf_dir):
 @query("select distinct d.doc_id, b.item_id from documents d, benchmark b where contains(d.text, b.text) and length(b.text) >= 8")
 def xref_name_match(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
-    b = table(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("id"), F.col("text").alias("name"), F.lit(True).alias("tagged"), "item_id")
-    # Passages are names with spaces: their words take the part of a name's tokens.
-    words = b.select("id", "name", F.explode(F.array_distinct(F.regexp_extract_all("name", F.lit(r"[^\s]{4,}"), F.lit(0)))).alias("token")).groupBy("id", "name").agg(F.max(F.struct(F.length("token"), "token"))["token"].alias("token"))
+    b = table(spark, sf_dir, "benchmark").where(F.length("text") >= 8).select("item_id", F.col("text").alias("name")).distinct()
+    # A word strictly inside a passage has white space on both sides wherever the passage occurs, so it is a token
+    # of the document; the first and the last word need not be. Passages without one are compared with every text.
+    inner = F.regexp_extract_all("name", F.lit(r"(?<=\s)\S+(?=\s)"), F.lit(0))
+    b = b.withColumn("token", F.array_max(F.transform(inner, lambda t: F.struct(F.length(t), t.alias("token"))))["token"])
     seen = d.select(F.col("id").alias("doc_id"), F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("token"))
-    pairs = seen.join(words, "token").select("doc_id", "id", "name").distinct().join(d.withColumnRenamed("id", "doc_id"), "doc_id")
-    return pairs.where(F.col("text").contains(F.col("name"))).select("doc_id", (-1 - F.col("id")).alias("item_id"))
+    pairs = seen.join(b, "token").select("doc_id", "item_id", "name").distinct().join(d.withColumnRenamed("id", "doc_id"), "doc_id")
+    whole = d.withColumnRenamed("id", "doc_id").join(b.where("token is null"), F.contains("text", "name"))
+    found = pairs.where(F.col("text").contains(F.col("name"))).select("doc_id", "item_id")
+    return found.union(whole.select("doc_id", "item_id")).distinct()
 
 
 _TAIL = "list_slice(string_split(p_name, ' '), -1, -1)[1]"

@@ -153,3 +153,20 @@ def test_chain_stream_survives_a_restart(spark, tmp_path):
     seq = spark.createDataFrame(rows, shape).withColumn("seq", F.floor(F.col("event_id") / 2) + 1)
     want = {(r.chain_id, r.event_id): r.hash for r in audit.chain(seq).collect()}
     assert {(r.chain_id, r.event_id): r.hash for r in spark.read.json(out).collect()} == want
+
+
+def test_passages_are_found_at_punctuation_and_without_long_words(spark, tmp_path):
+    """A passage's first and last word may touch other characters; short words and single words count too."""
+    import duckdb
+
+    from attestry.plans.queries import SQL, xref_name_match
+
+    texts = ["so (wonderful as it is) ends", "as it was wonderful.", "is it so or not, I ask", "xunbelievabley", "a\tb c dd e ff", "nothing", None, ""]
+    names = ["wonderful as it is", "it was wonderful", "it so or no", "unbelievable", "b c dd e f", "nothing", "absent words here", "two words"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(names)), "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    got = {(r.doc_id, r.item_id) for r in xref_name_match(spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(SQL["xref_name_match"]).fetchall()) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)}
