@@ -68,6 +68,9 @@ RULES = (
 #: Every known sentence holds one of these, so a text with none has no licence sentence.
 HINTS = ("licen", "copyright", "spdx", "gpl", "permission", "redistribution", "neither the name", "cc-", "cc ", "cc0", "attribution", "creative commons", "public domain", "rights reserved", "warranty", "as is", "any later version")
 
+#: A text with a hint holds one of these. None has an inner space, which a text before normalising may write otherwise.
+TEXT_HINTS = ("licen", "copyright", "spdx", "gpl", "permission", "redistribution", "neither", "cc-", "cc0", "cc ", "cc\t", "cc\r", "attribution", "creative", "domain", "reserved", "warranty", "provided", "later")
+
 
 def sentences(text: Column) -> Column:
     """Normalised sentences of a lower-cased text."""
@@ -92,7 +95,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame
     """
     t = df.select(F.col(id_col).alias("__id"), F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("__t"))
     hint = F.lit(False)
-    for h in HINTS:
+    for h in TEXT_HINTS:
         hint = hint | F.contains(F.col("__t"), F.lit(h))
     t = t.select("__id", F.when(hint, F.col("__t")).otherwise("").alias("__t"))
     likely = lambda s: F.contains(s, F.lit(HINTS[0])) | F.exists(F.array(*map(F.lit, HINTS[1:])), lambda h: F.contains(s, h))

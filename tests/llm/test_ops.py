@@ -381,6 +381,12 @@ def test_license_rules(spark):
     assert license_scan.scan(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_hints_do_not_depend_on_white_space(spark):
+    texts = ["released into the public  domain", "all rights\treserved", "2 or any  later \tversion", "provided  as\tis", "cc\tby 4", "neither  the name of x may be used to endorse or promote"]
+    got = license_scan.scan(docs(spark, texts)).orderBy("doc_id").collect()
+    assert [r.sentence_ids for r in got] == ["<PublicDomain>", "<Reserved>", "<LaterVersion>", "<Warranty>", "<CCBY>", "<BSDendorse>"]
+
+
 # -- 8 ---------------------------------------------------------------------------------------------------------
 
 
