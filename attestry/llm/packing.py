@@ -130,16 +130,18 @@ def _order(left: Counter, rng: random.Random) -> list[int]:
 
 
 def evolve(counts: dict[int, int], capacity: int, seed: int, start: Plan | None, population: int, generations: int) -> Plan:
-    """One island for one epoch: the best chromosome it found. Ends early at the lower bound."""
-    rng, floor = random.Random(seed), bound(counts, capacity)
+    """One island for one epoch: the best chromosome it found.
+
+    Fitness counts bins first and how unevenly they are filled then, so that at the least number of bins evolution still
+    gathers the free room in few of them.
+    """
+    rng = random.Random(seed)
     herd = [start or best_fit(counts, capacity)]
     key = lambda p: fitness(p, capacity)
-    while len(herd) < population and bins(herd[0]) > floor:
+    while len(herd) < population:
         herd.append(best_fit(counts, capacity, _order(Counter(counts), rng)))
     for _ in range(generations):
         herd.sort(key=key)
-        if bins(herd[0]) <= floor:
-            break
         a, b = rng.sample(herd[: max(2, population // 2 + 1)], 2)
         child = crossover(a, b, counts, capacity, rng) if rng.random() < 0.8 else mutate(a, counts, capacity, rng)
         if key(child) < key(herd[-1]):
@@ -155,15 +157,14 @@ def _merged(plan: Plan) -> Plan:
 
 
 def islands(spark, counts: dict[int, int], capacity: int, n_islands: int = 6, epochs: int = 2, population: int = 6, generations: int = 12) -> Plan:
-    """Evolve islands as Spark tasks; after each epoch the elite migrates to all of them.
+    """Evolve islands as Spark tasks; after each epoch the elite migrates to all of them. Every epoch runs, also where best
+    fit has met the bound already.
 
     Histogram and plan are the only things sent, both bounded by ``capacity``; a lost task evolves the same
     island again from its seed.
     """
     best = _merged(best_fit(counts, capacity))
     for epoch in range(epochs):
-        if bins(best) <= bound(counts, capacity):
-            break
 
         def run(batches: Iterator[pa.RecordBatch], best=best, epoch=epoch) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -173,7 +174,7 @@ def islands(spark, counts: dict[int, int], capacity: int, n_islands: int = 6, ep
 
         rows = spark.range(0, n_islands, 1, n_islands).mapInArrow(run, "content array<int>, n bigint, island bigint")
         found: dict[int, Plan] = {}
-        for r in rows.toLocalIterator():  # bounded: islands x patterns of a histogram of <= capacity lengths
+        for r in rows.toLocalIterator():  # islands x patterns; a group of equal bins splits at most once for each length
             found.setdefault(r.island, []).append((tuple(r.content), r.n))
         best = min([best, *(found[k] for k in sorted(found))], key=lambda p: fitness(p, capacity))
     return best
@@ -262,7 +263,8 @@ def _placed(pieces: DataFrame, counts: DataFrame, plan: Plan) -> DataFrame:
     # Ranks over all tasks: the counts of earlier tasks, at most one row for each task and length.
     spark = pieces.sparkSession
     before = Scratch(spark, "packing-before").save(counts.select("part", "length", (F.sum("n").over(_running()) - F.col("n")).alias("before")), "before")
-    joined = pieces.join(before, ["part", "length"])
+    # A row for each task and length grows with the input: never broadcast.
+    joined = pieces.join(before.hint("merge"), ["part", "length"])
     kind = pieces.schema["id"].dataType.simpleString()
     return joined.select("id", "piece", "start", "length", "ids_crc32", "rank", "before").mapInArrow(place, f"id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 

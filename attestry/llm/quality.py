@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, fresh
 
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: Rows that rules are learned from, at most: the labelled rows of the least hashes.
@@ -35,8 +35,9 @@ def statistics(df: DataFrame, text: str = "text", out: str = "__stats") -> DataF
     64-bit hashes of three words within one text; only texts that have any are looked at again, sorted.
     Null text: no words. Texts of any length are measured whole, in one pass of the row's own task.
     """
-    names = df.columns
-    t = df.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+    # The row travels as one column, so that no name of its columns can meet one used here.
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("__t"))
+    t = rows
     t = t.withColumn("__b", F.expr(f"trim(BOTH {_WS} FROM __t)"))
     t = t.withColumn("__w", F.expr(f"case when __b = '' then cast(array() as array<string>) else split(__b, '[{SPACE}]+') end".replace("\\", "\\\\")))
     t = t.withColumn("__l", F.expr(f"filter(split(__t, '\\n', -1), x -> ltrim({_WS}, x) <> '')"))
@@ -63,7 +64,8 @@ def statistics(df: DataFrame, text: str = "text", out: str = "__stats") -> DataF
         "bar_rate": per(one("|"), n), "shout_rate": per(one("!"), n), "digit_rate": per(count("0123456789"), c), "words_per_line": per(n, lines),
     }
     # The generator keeps later filters above it: pushed below, they would repeat these expressions for each word.
-    return t.select(*names, F.explode(F.array(F.struct(*(v.alias(k) for k, v in stats.items())))).alias(out))
+    t = t.select("__row", F.explode(F.array(F.struct(*(v.alias(k) for k, v in stats.items())))).alias("__stats"))
+    return t.select(*(F.col(f"__row.`{c}`").alias(c) for c in df.columns), F.col("__stats").alias(out))
 
 
 def base_failed(stats: Column) -> Column:
@@ -184,21 +186,30 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """Learn from at most ``max_labelled`` labelled documents that pass the base rules.
 
     The sample's ids are at most ``max_labelled`` longs, which is why they may be broadcast and why their
-    statistics may come to the driver.
+    statistics may come to the driver: of documents that share an id the one of the least statistics is taken. Null
+    ids and labels, and labels without a document, are left out; no labels give no rules.
     """
     picked = labels.where(F.col(quality).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__i"), F.col(quality).alias("__q"))
-    picked = picked.orderBy(F.xxhash64("__i"), "__i", "__q").limit(max_labelled)
-    some = docs.select(F.col(id_col).alias("__i"), F.col(text).alias("__x")).join(F.broadcast(picked), "__i")
-    rows = statistics(some, "__x").where(~base_failed(F.col("__stats"))).select(*(F.col(f"__stats.{f}") for f in FEATURES), (F.col("__q") == 0).alias("bad"))
-    return learn([r.asDict() for r in rows.limit(2 * max_labelled).collect()], **how)
+    picked = picked.distinct().orderBy(F.xxhash64("__i"), "__i", "__q").limit(max_labelled)
+    some = docs.select(F.col(f"`{id_col}`").alias("__i"), F.col(f"`{text}`").alias("__x")).join(F.broadcast(picked), "__i")
+    rows = statistics(some, "__x").where(~base_failed(F.col("__stats")))
+    rows = rows.groupBy("__i", "__q").agg(F.min(F.struct(*(F.col(f"__stats.{f}") for f in FEATURES))).alias("f")).select("f.*", (F.col("__q") == 0).alias("bad"))
+    return learn([r.asDict() for r in rows.collect()], **how)
 
 
 def judged(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``docs`` with ``__stats`` and the booleans ``__base_failed`` and ``__kept``.
 
-    Names begin with underscores so that they meet none of the input's. Rows are judged one by one: repeated
-    rows alike, null and empty texts rejected (no words), an empty table empty.
+    A name that ``docs`` has already gets an underscore more (``common.fresh``). Rows are judged one by one: repeated
+    rows alike, null and empty texts rejected (no words), texts of any length whole, an empty table empty. Ids are not
+    read.
     """
-    stats = F.col("__stats")
-    out = statistics(docs, text).withColumn("__base_failed", base_failed(stats))
-    return out.withColumn("__kept", ~F.col("__base_failed") & verdict(rules, stats))
+    stats, failed, kept = fresh(docs, "__stats", "__base_failed", "__kept")
+    out = statistics(docs, text, stats).withColumn(failed, base_failed(F.col(stats)))
+    return out.withColumn(kept, ~F.col(failed) & verdict(rules, F.col(stats)))
+
+
+def kept_rows(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the base rules and the list keep, columns as they are."""
+    out = judged(docs, rules, text)
+    return out.where(F.col(out.columns[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))

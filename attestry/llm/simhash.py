@@ -165,21 +165,27 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text: str = "text"
     return fp.join(named, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
 
 
-def _row_keys(df: DataFrame) -> DataFrame:
-    """``df`` with ``__r1`` and ``__r2``, 128 bits over all columns of a row: only rows alike in all share them."""
-    marked = [x for c in df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
-    return df.select("*", F.xxhash64(F.lit(1), *marked).alias("__r1"), F.xxhash64(F.lit(2), *marked).alias("__r2"))
+def _row_keys(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: str | None = None) -> DataFrame:
+    """``id``, ``t`` (the text), and ``r1``, ``r2``: 128 bits over all columns of a row, which only rows alike in all share.
+
+    ``keep`` names a struct of the whole row. Nothing else of ``df`` comes along, so names cannot clash.
+    """
+    cols = [F.col(f"`{c}`") for c in df.columns]
+    marked = [x for c in cols for x in (c, c.isNull())]
+    row = [F.struct(*cols).alias(keep)] if keep else []
+    return df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.lit(1), *marked).alias("r1"), F.xxhash64(F.lit(2), *marked).alias("r2"), *row)
 
 
-def _one_each(df: DataFrame, rows: DataFrame, comp: DataFrame, node: str, scratch: Scratch) -> DataFrame:
+def _one_each(df: DataFrame, rows: DataFrame, comp: DataFrame, node: str, scratch: Scratch, id_col: str, text: str) -> DataFrame:
     """One row of ``df`` for each component: of its rows in ``rows`` the one with the least id, null last.
 
     Rows with one id are told apart by ``node``, then by the hash of the row, so that a retry picks the same.
     """
     named = rows.join(comp.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
-    order = F.struct(F.col("__id").isNull().alias("no_id"), "__id", node, "__r1", "__r2")
-    first = scratch.save(named.groupBy("root").agg(F.min(order).alias("at")).select("at.__r1", "at.__r2"), "first")
-    return _row_keys(df).join(first, ["__r1", "__r2"], "left_semi").dropDuplicates(["__r1", "__r2"]).select(*(F.col(f"`{c}`") for c in df.columns))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", node, "r1", "r2")
+    first = scratch.save(named.groupBy("root").agg(F.min(order).alias("at")).select("at.r1", "at.r2"), "first")
+    kept = _row_keys(df, id_col, text, keep="row").join(first, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
@@ -189,10 +195,9 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int =
     texts like all others. Columns are those of ``df``.
     """
     scratch = Scratch(df.sparkSession, "simhash")
-    keyed = _row_keys(df).select(F.col(id_col).alias("__id"), F.col(text).alias("__t"), "__r1", "__r2")
-    rows = scratch.save(with_fingerprint(keyed, "__t", ("__id", "__r1", "__r2"), "fp", k), "rows")
+    rows = scratch.save(with_fingerprint(_row_keys(df, id_col, text), "t", ("id", "r1", "r2"), "fp", k), "rows")
     comp = scratch.save(components(links(rows.select("fp").distinct(), scratch), scratch), "components")
-    return _one_each(df, rows, comp, "fp", scratch)
+    return _one_each(df, rows, comp, "fp", scratch, id_col, text)
 
 
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, ROWS * BANDS, np.uint64) | np.uint64(1)
@@ -240,21 +245,21 @@ def keep_one_alike(df: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     At a similarity of 0.8 about 10 of 64 fingerprint bits differ, a distance that Golay keys do not span and that
     texts with nothing in common come near, so MinHash keys name the candidates. Each is verified by the
     sets themselves; the buckets are settled in rounds (``line_dedup.settle``), so that no candidate is left out.
-    Texts with the same words are one node, and texts without words another.
+    Texts with the same words are one node, and texts without words (null and empty ones) another. Ids are no keys, as
+    in ``keep_one``; texts of any length are read whole; columns, whatever their names, are those of ``df``; an empty
+    table gives an empty result.
     """
     scratch = Scratch(df.sparkSession, "alike")
-    keyed = _row_keys(df).select(F.col(text).cast("string").alias("__t"), F.col(id_col).alias("__id"), "__r1", "__r2")
-    kind = keyed.schema["__id"].dataType.simpleString()
-    rows = scratch.save(keyed.mapInArrow(lambda it: _signed(it, k), f"__id {kind}, __r1 bigint, __r2 bigint, node binary, n bigint, bands array<bigint>"), "rows")
-    node = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min(F.struct("__r1", "__r2")).alias("at"))
+    keyed = _row_keys(df, id_col, text).select(F.col("t").cast("string").alias("t"), "id", "r1", "r2")
+    kind = keyed.schema["id"].dataType.simpleString()
+    rows = scratch.save(keyed.mapInArrow(lambda it: _signed(it, k), f"id {kind}, r1 bigint, r2 bigint, node binary, n bigint, bands array<bigint>"), "rows")
+    node = rows.groupBy("node").agg(F.first("n").alias("size"), F.first("bands").alias("bands"), F.min(F.struct("r1", "r2")).alias("at"))
     node = scratch.save(node.withColumnRenamed("node", "id"), "nodes")
-    banded = node.select("id", "n", F.explode("bands").alias("band")).withColumn("r", F.xxhash64("id"))
-    hot = banded.groupBy("band").agg(F.min("r").alias("upto"), F.count("*").alias("m")).where("m > 1")
-    todo = scratch.save(hot.select("band", F.lit(None).cast("long").alias("after"), "upto", F.col("m").alias("n")), "buckets")
-    # The bucket's size is ``n`` in the table of buckets, so a set's is ``size`` among the members.
-    member = scratch.save(banded.withColumnRenamed("n", "size").join(todo.select("band"), "band"), "members")
-    at = node.join(member.select("id").distinct(), "id", "left_semi").select("id", "at.__r1", "at.__r2")
-    texts = keyed.join(at, ["__r1", "__r2"]).dropDuplicates(["__r1", "__r2"]).select("__t", "id")
+    banded = node.select("id", "size", F.explode("bands").alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
+    member = scratch.save(banded.join(shared, "band").select("band", "id", "size"), "members")
+    at = node.join(member.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("node"), "at.r1", "at.r2")
+    texts = keyed.join(at, ["r1", "r2"]).dropDuplicates(["r1", "r2"]).select("t", F.col("node").alias("id"))
     sets = scratch.save(texts.mapInArrow(lambda it: _sets(it, k), "id binary, h array<bigint>"), "sets")
 
     def alike(pairs: DataFrame) -> DataFrame:
@@ -263,9 +268,10 @@ def keep_one_alike(df: DataFrame, id_col: str = "doc_id", text: str = "text", k:
         n = xy.select("a", "b", F.size("x").alias("x"), F.size("y").alias("y"), F.size(F.array_intersect("x", "y")).alias("common"))
         return n.where(F.col("common") >= threshold * (F.col("x") + F.col("y") - F.col("common"))).select("a", "b")
 
+    elements = lambda ids: sets.join(ids, "id", "left_semi").select("id", F.explode("h").alias("h"))
     near = F.least("size", "p_size") >= threshold * F.greatest("size", "p_size")
-    comp = scratch.save(settle(member, todo, scratch, alike, near), "components")
-    return _one_each(df, rows, comp, "node", scratch)
+    comp = scratch.save(settle(member, scratch, near, alike, elements, threshold), "components")
+    return _one_each(df, rows, comp, "node", scratch, id_col, text)
 
 
 def to_hex(col):
