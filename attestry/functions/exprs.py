@@ -141,9 +141,8 @@ def cell(value: Column, most: int = 40) -> Column:
     return F.substring(v, 1, most)
 
 
-def line_of(text: Column, before: Column) -> Column:
+def line_of(before: Column) -> Column:
     """Line number of a place from the text that stands before it."""
-    del text
     return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import dims
 from ..functions.exprs import _any
 
-T = dims.tag
 _STRINGS = "array<string>"
 
 
@@ -22,8 +21,8 @@ def once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", made).select(*df.columns, "__once.*")
 
 
-def _tags(*shorts: str) -> Column:
-    return F.array(*(F.lit(T(s)) for s in shorts))
+def _tags(*tags: str) -> Column:
+    return F.array(*map(F.lit, tags))
 
 
 def add_tags(old: Column, new: Column) -> Column:
@@ -45,7 +44,7 @@ def hook_consumers(df: DataFrame) -> DataFrame:
     hit = F.col("__hit")
     t = once(df, __hit=F.when(already, 1).when(calls, 2).otherwise(0))
     return t.withColumns({
-        "compliance_tags": F.when(hit > 0, add_tags(F.col("compliance_tags"), _tags("e61"))).otherwise(F.col("compliance_tags")),
+        "compliance_tags": F.when(hit > 0, add_tags(F.col("compliance_tags"), _tags("eu_ai_act_art_61"))).otherwise(F.col("compliance_tags")),
         "mapping_confidence": F.when(hit > 0, F.greatest("mapping_confidence", F.lit(0.85))).otherwise(F.col("mapping_confidence")),
         "mapping_rationale": F.when((hit == 2) | (hit == 1) & (F.col("mapping_rationale") == ""), why).otherwise(F.col("mapping_rationale")),
         "subcategory": F.when(hit == 2, "hook_consumer").otherwise(F.col("subcategory")),
@@ -65,9 +64,9 @@ def structural_tags() -> Column:
     inherits = F.exists("relations", lambda r: F.coalesce(r["target"], F.lit("")).contains("autograd.Function") | F.lower(F.coalesce(r["target"], F.lit(""))).contains("autograd_function"))
     decides = F.col("entity_type").isin("function", "method") & _name_is(name, "predict", "classify", "score", "decision")
     rules = [
-        (sub == "autograd_extension", ("e15",)), (sub == "hook_consumer", ("e61",)), (inherits, ("e15",)), (sub == "hook_definition", ("e14", "e12")), (sub == "override_protocol", ("e14",)), (sub == "data_loading", ("g5", "e10")), (decides, ("g22", "e13")),
-        (_any(name, "privacy _private anonymi pseudonym dp_optimizer grad_sample noise_multi per_sample".split()), ("g25",)),
-        (_any(name, "encrypt decrypt ssl_ _ssl tls_ _tls secure_ _secure hmac hash_data hash_tensor checksum verify_key certif crypto".split()), ("g32",)),
+        (sub == "autograd_extension", ("eu_ai_act_art_15",)), (sub == "hook_consumer", ("eu_ai_act_art_61",)), (inherits, ("eu_ai_act_art_15",)), (sub == "hook_definition", ("eu_ai_act_art_14", "eu_ai_act_art_12")), (sub == "override_protocol", ("eu_ai_act_art_14",)), (sub == "data_loading", ("gdpr_art_5", "eu_ai_act_art_10")), (decides, ("gdpr_art_22", "eu_ai_act_art_13")),
+        (_any(name, "privacy _private anonymi pseudonym dp_optimizer grad_sample noise_multi per_sample".split()), ("gdpr_art_25",)),
+        (_any(name, "encrypt decrypt ssl_ _ssl tls_ _tls secure_ _secure hmac hash_data hash_tensor checksum verify_key certif crypto".split()), ("gdpr_art_32",)),
     ]
     return F.array_distinct(F.concat(*(F.when(test, _tags(*tags)).otherwise(_none()) for test, tags in rules)))
 
@@ -144,7 +143,7 @@ def lifecycle(df: DataFrame) -> DataFrame:
 def export_survival(df: DataFrame) -> DataFrame:
     c = F.col
     sub = c("subcategory")
-    vector = lambda code: F.create_map(*(x for t, s in zip(dims.TARGETS, dims.statuses(code)) for x in (F.lit(t), F.lit(s))))
+    vector = lambda statuses: F.create_map(*(F.lit(x) for pair in zip(dims.TARGETS, statuses) for x in pair))
     hook = sub == "hook_definition"
     rules = [(hook & c("entity_name").contains("state_dict"), dims.STATE_HOOK), (hook & c("entity_name").contains("forward"), dims.FORWARD_HOOK)]
     for name, code in dims.SURVIVAL.items():
@@ -175,8 +174,8 @@ def confidence(df: DataFrame, deterministic: DataFrame | None = None, names: dic
 
 def conflicts(df: DataFrame) -> DataFrame:
     """Warnings ``(id, entity_name, warning)`` for contradicting tags and phases."""
-    has = lambda s: F.array_contains("compliance_tags", T(s))
-    found = F.array_compact(F.array(F.when(has("e15") & has("e11"), "robustness_and_documentation"), F.when((F.col("lifecycle_phase") == "training_only") & has("e11"), "training_only_and_documentation")))
+    has = lambda s: F.array_contains("compliance_tags", s)
+    found = F.array_compact(F.array(F.when(has("eu_ai_act_art_15") & has("eu_ai_act_art_11"), "robustness_and_documentation"), F.when((F.col("lifecycle_phase") == "training_only") & has("eu_ai_act_art_11"), "training_only_and_documentation")))
     return df.select("id", "entity_name", F.explode(found).alias("warning"))
 
 
@@ -190,33 +189,56 @@ def annotate(df: DataFrame, deterministic: DataFrame | None = None) -> DataFrame
 # -- ratings by a model, consumed as tables ------------------------------------------------------------------
 
 
+VALIDATED = "llm_mapping_validated"
+
+
+def unsure(df: DataFrame, below: float = 0.7) -> DataFrame:
+    """Tagged records whose mapping is unsure and not validated yet: what a model is asked about."""
+    seen = F.coalesce(F.try_element_at("metadata", F.lit(VALIDATED)), F.lit(""))
+    return df.where((F.col("mapping_confidence") < below) & (F.size("compliance_tags") > 0) & (F.lower(seen) != "true"))
+
+
 def apply_ratings(df: DataFrame, ratings: DataFrame) -> DataFrame:
     """``ratings(record_id, tag, relevance, confidence, reason)``: direct ones raise the confidence and give the
-    reason, indirect ones raise it to 0.7 of theirs, others take the tag away."""
-    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.5))))
+    reason, indirect ones raise it to 0.7 of theirs, ``none`` (null too) takes the tag away, others only count as seen. A
+    missing confidence is 0. Records with a rating are marked as validated, so that a later run passes over them."""
+    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("confidence").try_cast("double"), F.lit(0.0))))
     kind = F.lower(F.coalesce("relevance", F.lit("none")))
     r = ratings.select("record_id", "tag", kind.alias("k"), c.alias("c"), "reason")
     g = r.groupBy("record_id").agg(
-        F.collect_set(F.when(~F.col("k").isin("direct", "indirect"), F.col("tag"))).alias("__gone"),
+        F.collect_set(F.when(F.col("k") == "none", F.col("tag"))).alias("__gone"),
         F.max(F.when(F.col("k") == "direct", F.col("c")).when(F.col("k") == "indirect", 0.7 * F.col("c"))).alias("__up"),
         F.max_by("reason", F.when(F.col("k") == "direct", F.struct("c", "tag"))).alias("__why"),
     )
-    t = df.join(g, df.id == g.record_id, "left").drop("record_id")
+    t = df.join(g, df.id == g.record_id, "left")
+    seen = F.map_concat(F.map_filter("metadata", lambda k, v: k != VALIDATED), F.create_map(F.lit(VALIDATED), F.lit("true")))
     return t.withColumns({
         "compliance_tags": F.when(F.col("__gone").isNull(), F.col("compliance_tags")).otherwise(F.filter("compliance_tags", lambda x: ~F.array_contains("__gone", x))),
         "mapping_confidence": F.greatest("mapping_confidence", F.coalesce("__up", F.lit(0.0))),
         "mapping_rationale": F.coalesce("__why", "mapping_rationale"),
-    }).drop("__gone", "__up", "__why")
+        "metadata": F.when(F.col("record_id").isNull(), F.col("metadata")).otherwise(seen),
+    }).drop("record_id", "__gone", "__up", "__why")
 
 
-COMMIT_TAGS = {"determinism": "e15", "security": "e15", "hooks": "e61", "data": "e10", "export": "e11", "monitoring": "e61", "privacy": "g25"}
+# The article that a commit's class speaks for.
+COMMIT_TAGS = {
+    "security_fix": "eu_ai_act_art_15",
+    "determinism_change": "eu_ai_act_art_9",
+    "deprecation": "eu_ai_act_art_11",
+    "breaking_change": "eu_ai_act_art_11",
+    "hook_change": "eu_ai_act_art_14",
+    "data_handling": "eu_ai_act_art_10",
+    "not_relevant": "",
+}
 
 
 def relabel_commits(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """``labels(record_id, label)``: the label becomes the subcategory and its one tag replaces the others."""
-    t = df.join(labels.select(F.col("record_id").alias("__r"), F.col("label").alias("__l")), F.col("id") == F.col("__r"), "left")
-    tag = F.try_element_at(F.create_map(*(x for k, v in COMMIT_TAGS.items() for x in (F.lit(k), F.array(F.lit(T(v)))))), F.col("__l"))
-    return t.withColumns({"compliance_tags": F.when(F.col("__l").isNull(), F.col("compliance_tags")).otherwise(F.coalesce(tag, _none())), "subcategory": F.coalesce("__l", "subcategory")}).drop("__r", "__l")
+    """``labels(record_id, label)``: the label becomes the subcategory and its one tag replaces the others; one that is not
+    relevant clears them. A label outside ``COMMIT_TAGS``, null included, changes nothing."""
+    known = labels.where(F.col("label").isin(*COMMIT_TAGS)).groupBy(F.col("record_id").alias("__r")).agg(F.max("label").alias("__l"))
+    t = df.join(known, F.col("id") == F.col("__r"), "left")
+    tag = F.filter(F.array(F.try_element_at(F.create_map(*(F.lit(x) for kv in COMMIT_TAGS.items() for x in kv)), F.col("__l"))), lambda x: x != "")
+    return t.withColumns({"compliance_tags": F.when(F.col("__l").isNull(), F.col("compliance_tags")).otherwise(tag), "subcategory": F.coalesce("__l", "subcategory")}).drop("__r", "__l")
 
 
 def apply_article_labels(df: DataFrame, labels: DataFrame) -> DataFrame:

@@ -75,19 +75,22 @@ def relation_edges(df: DataFrame) -> DataFrame:
     return t.select(F.col("id").alias("source"), F.coalesce("r.target", F.lit("")).alias("target"), F.coalesce("r.type", F.lit("unknown")).alias("type"))
 
 
-def name_edges(texts: DataFrame, names: DataFrame, min_name: int = 8, min_token: int = 4, tagged_only_above: int = 20_000) -> DataFrame:
+def name_edges(texts: DataFrame, names: DataFrame, min_name: int = 8, min_token: int = 4) -> DataFrame:
     """``(source, target, name)`` where a text holds another record's name.
 
-    ``texts(id, text)``, ``names(id, name, tagged)``. Tokens of both sides meet in an equi-join, whose distinct
-    pairs are then verified by containment. Of several records with one name the last is its target, by id.
-    With more names than ``tagged_only_above`` only tagged ones are looked for.
+    ``texts(id, text)``, ``names(id, name)``. A name is looked for by one of its tokens, the one that the fewest texts
+    hold, so that common words pair nothing; candidates are verified by containment. Names without a token of
+    ``min_token`` characters have no edges. Of several records with one name the last is its target, by id. All names are
+    looked for, however many there are.
     """
-    n = names.where(F.length("name") >= min_name).groupBy("name").agg(F.max("id").alias("target"), F.max("tagged").alias("tagged"))
-    if n.count() > tagged_only_above:
-        n = n.where("tagged")
+    n = names.where(F.length("name") >= min_name).groupBy("name").agg(F.max("id").alias("target"))
+    word = texts.select(F.col("id").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"[a-zA-Z_]\w{{{min_token - 1},}}"), F.lit(0)))).alias("word"))
+    # A name may stand inside a longer word, so words are cut like names.
+    word = word.select("source", F.explode(F.array_distinct(F.concat(F.array("word"), F.split("word", "[._]")))).alias("token")).where(F.length("token") >= min_token).distinct()
     token = n.select("target", "name", F.explode(F.array_distinct(F.filter(F.split("name", r"[._]"), lambda x: F.length(x) >= min_token))).alias("token"))
-    word = texts.select(F.col("id").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"[a-zA-Z_]\w{{{min_token - 1},}}"), F.lit(0)))).alias("token"))
-    pairs = word.join(token, "token").select("source", "target", "name").distinct()
+    df = word.join(token.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("df"))
+    rarest = token.join(df, "token").groupBy("target", "name").agg(F.min(F.struct("df", "token")).alias("t")).select("target", "name", F.col("t.token").alias("token"))
+    pairs = word.join(rarest, "token").select("source", "target", "name").distinct()
     return pairs.join(texts.select(F.col("id").alias("source"), "text"), "source").where((F.col("source") != F.col("target")) & F.col("text").contains(F.col("name"))).select("source", "target", "name")
 
 

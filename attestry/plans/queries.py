@@ -46,7 +46,13 @@ def _names_case(column: str) -> str:
 
 
 _PHRASES_SQL = "flatten([" + ", ".join(f"case when contains(lower(docstring), {q(p)}) then {_list(t)} else []::varchar[] end" for p, t in dims.PHRASES) + "])"
-_T = dims.tag
+
+
+def _code(statuses: tuple[str, ...]) -> str:
+    """The statuses' first letters, as one value in SQL."""
+    return "".join(s[0] for s in statuses)
+
+
 _NAME = "lower(entity_name)"
 
 
@@ -59,12 +65,12 @@ def _decides() -> str:
 
 
 _TIER2 = f"""list_distinct_ordered(flatten([
-  case when subcategory = 'autograd_extension' then {_list([_T('e15')])} else [] end, case when subcategory = 'hook_consumer' then {_list([_T('e61')])} else [] end,
-  case when subcategory = 'hook_definition' then {_list([_T('e14'), _T('e12')])} else [] end, case when subcategory = 'override_protocol' then {_list([_T('e14')])} else [] end,
-  case when subcategory = 'data_loading' then {_list([_T('g5'), _T('e10')])} else [] end,
-  case when entity_type in ('function', 'method') and {_decides()} then {_list([_T('g22'), _T('e13')])} else [] end,
-  case when {_like_any('privacy _private anonymi pseudonym dp_optimizer grad_sample noise_multi per_sample')} then {_list([_T('g25')])} else [] end,
-  case when {_like_any('encrypt decrypt ssl_ _ssl tls_ _tls secure_ _secure hmac hash_data hash_tensor checksum verify_key certif crypto')} then {_list([_T('g32')])} else [] end]))"""
+  case when subcategory = 'autograd_extension' then {_list(["eu_ai_act_art_15"])} else [] end, case when subcategory = 'hook_consumer' then {_list(["eu_ai_act_art_61"])} else [] end,
+  case when subcategory = 'hook_definition' then {_list(["eu_ai_act_art_14", "eu_ai_act_art_12"])} else [] end, case when subcategory = 'override_protocol' then {_list(["eu_ai_act_art_14"])} else [] end,
+  case when subcategory = 'data_loading' then {_list(["gdpr_art_5", "eu_ai_act_art_10"])} else [] end,
+  case when entity_type in ('function', 'method') and {_decides()} then {_list(["gdpr_art_22", "eu_ai_act_art_13"])} else [] end,
+  case when {_like_any('privacy _private anonymi pseudonym dp_optimizer grad_sample noise_multi per_sample')} then {_list(["gdpr_art_25"])} else [] end,
+  case when {_like_any('encrypt decrypt ssl_ _ssl tls_ _tls secure_ _secure hmac hash_data hash_tensor checksum verify_key certif crypto')} then {_list(["gdpr_art_32"])} else [] end]))"""
 
 
 def _ordered(x: str) -> str:
@@ -81,7 +87,7 @@ def _records(upto: str = "conf") -> str:
         ("e0", PART),
         ("e1", f"""select *, case when subcategory = 'hook_consumer' then 1 when raw_text <> '' and subcategory <> 'hook_definition'
    and len(list_filter(regexp_extract_all(raw_text, '{hookre}', 1), lambda c: not list_contains(regexp_extract_all(raw_text, '{defre}', 1), c))) > 0 then 2 else 0 end hit from e0"""),
-        ("hook", f"""select * exclude (hit, subcategory, mapping_confidence), case when hit = 2 then 'hook_consumer' else subcategory end subcategory, case when hit > 0 then {_list([_T('e61')])} else []::varchar[] end tags0,
+        ("hook", f"""select * exclude (hit, subcategory, mapping_confidence), case when hit = 2 then 'hook_consumer' else subcategory end subcategory, case when hit > 0 then {_list(["eu_ai_act_art_61"])} else []::varchar[] end tags0,
    case when hit > 0 then greatest(mapping_confidence, 0.85) else mapping_confidence end conf0 from e1"""),
         ("t1", f"select *, {_names_case('entity_name')} a1, {tier2} a2, {_PHRASES_SQL} a3 from hook"),
         ("t2", "select *, list_concat(tags0, a1, a2, a3) allt from t1"),
@@ -94,10 +100,10 @@ def _records(upto: str = "conf") -> str:
         ("life", """select *, case when contains(lower(entity_name), 'backward') or contains(lower(entity_name), 'grad') then 'training_only' when subcategory in ('hook_definition', 'hook_consumer') and contains(lower(entity_name), 'forward') then 'inference_safe'
    when contains(source_file, 'torch/utils/data/') then 'data_preparation' when contains(source_file, 'torch/onnx/') or contains(source_file, 'torch/export/') or subcategory = 'torchscript' then 'deployment'
    when subcategory in ('dispatch_key', 'profiler_hook') then 'inference_safe' when entity_type = 'test_case' then 'training_only' when len(tags) > 0 then 'inference_safe' else '' end phase from safe"""),
-        ("surv", f"""select *, case when not (len(tags) > 0 or subcategory in ({', '.join(map(q, dims.EXPORT_RELEVANT))})) then '' when subcategory = 'hook_definition' and contains(entity_name, 'state_dict') then '{dims.STATE_HOOK}'
-   when subcategory = 'hook_definition' and contains(entity_name, 'forward') then '{dims.FORWARD_HOOK}' when subcategory = 'dispatch_key' then '{dims.SURVIVAL['dispatch_key']}'
-   when entity_type = 'class' and (contains(lower(qualified_name), 'autograd') or subcategory = 'autograd_function') then '{dims.SURVIVAL['autograd']}' """
-         + " ".join(f"when subcategory = '{k}' then '{v}'" for k, v in dims.SURVIVAL.items() if k not in ("dispatch_key", "autograd")) + " else '' end survival from life"),
+        ("surv", f"""select *, case when not (len(tags) > 0 or subcategory in ({', '.join(map(q, dims.EXPORT_RELEVANT))})) then '' when subcategory = 'hook_definition' and contains(entity_name, 'state_dict') then '{_code(dims.STATE_HOOK)}'
+   when subcategory = 'hook_definition' and contains(entity_name, 'forward') then '{_code(dims.FORWARD_HOOK)}' when subcategory = 'dispatch_key' then '{_code(dims.SURVIVAL['dispatch_key'])}'
+   when entity_type = 'class' and (contains(lower(qualified_name), 'autograd') or subcategory = 'autograd_function') then '{_code(dims.SURVIVAL['autograd'])}' """
+         + " ".join(f"when subcategory = '{k}' then '{_code(v)}'" for k, v in dims.SURVIVAL.items() if k not in ("dispatch_key", "autograd")) + " else '' end survival from life"),
         ("rec", """select * exclude (extraction_confidence), case when entity_type = 'test_case' and len(tags) > 0 then greatest(extraction_confidence, 0.95) else extraction_confidence end ext,
    case when len(tags) > 0 and conf1 = 0 then 0.2 else conf1 end conf from surv"""),
     ]
@@ -133,7 +139,7 @@ def tag_tier2(spark, sf_dir):
 
 @query(f"select doc_id, array_to_string({_ordered('a3')}, ',') tags from (select doc_id, flatten([case when contains(lower(docstring), 'the') then ['eu_ai_act_art_9'] else [] end, case when contains(lower(docstring), 'license') then ['gdpr_art_5', 'eu_ai_act_art_12'] else [] end, case when contains(lower(docstring), 'token') then ['gdpr_art_32', 'gdpr_art_5'] else [] end]) a3 from (select doc_id, coalesce(text, '') docstring from documents)) where len(a3) > 0")
 def tag_tier3(spark, sf_dir):
-    phrases = [("the", [_T("e9")]), ("license", [_T("g5"), _T("e12")]), ("token", [_T("g32"), _T("g5")])]
+    phrases = [("the", ["eu_ai_act_art_9"]), ("license", ["gdpr_art_5", "eu_ai_act_art_12"]), ("token", ["gdpr_art_32", "gdpr_art_5"])]
     tags, _ = annotate.phrase_tags(phrases, F.coalesce("text", F.lit("")))
     t = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(tags).alias("t"))
     return t.where(F.size("t") > 0).select("doc_id", tags_text("t").alias("tags"))
@@ -196,7 +202,7 @@ def matrix_top30(spark, sf_dir):
 
 @query(_records() + "select id, conf from rec where list_contains(tags, 'eu_ai_act_art_14') order by conf desc, input_seq limit 40")
 def article_top40(spark, sf_dir):
-    t = organize.top(records(spark, sf_dir).where(F.array_contains("compliance_tags", _T("e14"))), 40, F.desc("mapping_confidence"), "input_seq")
+    t = organize.top(records(spark, sf_dir).where(F.array_contains("compliance_tags", "eu_ai_act_art_14")), 40, F.desc("mapping_confidence"), "input_seq")
     return t.select("id", F.col("mapping_confidence").alias("conf"))
 
 
@@ -297,7 +303,7 @@ def q_high_conf(spark, sf_dir):
 
 @query(_records() + "select count(*) > 0 answer from rec where list_contains(tags, 'eu_ai_act_art_14')")
 def q_ask(spark, sf_dir):
-    return triples.ask(records(spark, sf_dir).where(F.array_contains("compliance_tags", _T("e14"))))
+    return triples.ask(records(spark, sf_dir).where(F.array_contains("compliance_tags", "eu_ai_act_art_14")))
 
 
 _B = triples.BASE
@@ -486,6 +492,7 @@ def validate_dup_ids(spark, sf_dir):
 
 
 def _registry(spark, sf_dir):
+    """A registry that knows nothing of every eleventh customer, so that reads of unknown subjects occur."""
     c = table(spark, sf_dir, "customer").where("c_custkey % 11 <> 0")
     return c.select(F.col("c_custkey").alias("subject_id"), (F.col("c_custkey") % 7 != 0).alias("consent"), F.when(F.col("c_custkey") % 5 == 0, F.array(F.lit("billing"))).otherwise(F.array(F.lit("billing"), F.lit("training"))).alias("purposes"))
 
@@ -523,9 +530,9 @@ def consent_buckets(spark, sf_dir):
     return consent.per_bucket(consent.access_log(_reads(spark, sf_dir), _registry(spark, sf_dir), "training"), "o_orderkey")
 
 
-@query("select cast(sum(n) as bigint) n_samples, count(*) n_classes, round(max(n) / greatest(min(n), 1), 6) imbalance, max(n) / greatest(min(n), 1) > 5.0 warning from (select event_type, count(*) n from events where not (event_type = 'click' and event_id % 10 > 0) group by 1)")
+@query("select cast(sum(n) as bigint) n_samples, count(*) n_classes, round(max(n) / greatest(min(n), 1), 6) imbalance, max(n) / greatest(min(n), 1) > 5.0 warning from (select event_type, count(*) n from events group by 1)")
 def class_profile(spark, sf_dir):
-    return consent.class_profile(table(spark, sf_dir, "events").where("not (event_type = 'click' and event_id % 10 > 0)"), "event_type")
+    return consent.class_profile(table(spark, sf_dir, "events"), "event_type")
 
 
 @query("select round(case when count(*) < 2 then 1.0 else max(n) / min(n) end, 6) ratio, case when count(*) < 2 then 1.0 else max(n) / min(n) end > 3.0 imbalanced from (select label, count(*) n from embeddings group by 1)")

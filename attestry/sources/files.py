@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,19 +28,25 @@ def read_texts(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
 
 
 def read_records(spark: SparkSession, *paths: str) -> DataFrame:
-    """Records of JSON-lines files. Malformed lines are skipped, unknown keys dropped, missing ones defaulted.
+    """Records of JSON-lines files, and of ``*.json`` files that hold one record or an array of them.
 
-    ``input_seq`` orders by file name, then place in the file: it breaks ties as the input stands.
+    Malformed lines and files are skipped, unknown keys dropped, missing ones defaulted. ``input_seq`` orders by file, JSON
+    lines first, then name, then place: it breaks ties as the input stands. A file is read whole for its places, so
+    record files are to be of a bounded size; how many there are is not bounded.
     """
-    raw = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i"))
-    loose = T.StructType([T.StructField(f.name, f.dataType) for f in RECORD.fields])
-    t = raw.where("trim(value) <> ''").withColumn("r", F.from_json("value", loose, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    t = t.where(F.col("value").rlike(r"(?s)^\s*\{.*\}\s*$") & F.try_parse_json("value").isNotNull())
-    # Files are numbered by name; within a file Spark's row id grows with the place.
-    files = t.select("f").distinct()
-    order = files.join(files.select(F.col("f").alias("g")), F.col("g") < F.col("f"), "left").groupBy("f").agg(F.count("g").alias("n"))
-    t = t.join(F.broadcast(order), "f").select("r.*", (F.col("n") * (1 << 53)).alias("file_at"), "b", "i")
-    return with_defaults(t.withColumn("input_seq", F.col("file_at") + F.col("i")))
+    names = [T.StructField(f.name, f.dataType) for f in RECORD.fields]
+    raw = spark.read.text(list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("f"))
+    plain = F.lower("f").endswith(".json")
+    parts = raw.select("f", plain.alias("plain"), F.posexplode(F.when(plain, F.array("value")).otherwise(F.split("value", "\r?\n"))).alias("i", "value")).where("trim(value) <> ''")
+    known = parts.where(F.try_parse_json("value").isNotNull())
+    text = F.trim("value")
+    listed = known.where(F.col("plain") & text.startswith("[")).select("f", "plain", F.posexplode(F.from_json("value", T.ArrayType(T.StructType(names)))).alias("i", "r"))
+    single = known.where(text.startswith("{")).select("f", "plain", "i", F.from_json("value", T.StructType(names)).alias("r"))
+    rows = single.unionByName(listed).where("r is not null")
+    # Files are numbered once, by name: a row for each file.
+    order = rows.select("f", "plain").distinct()
+    order = order.select("f", F.row_number().over(Window.orderBy("plain", "f")).cast("long").alias("n"))
+    return with_defaults(rows.join(order, "f").select("r.*", F.shiftleft("n", 32).bitwiseOR(F.col("i").cast("long")).alias("input_seq")))
 
 
 def read_audit(spark: SparkSession, *paths: str) -> DataFrame:

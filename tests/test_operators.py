@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from attestry.functions import exprs
 from attestry.operators import annotate, audit, consent, drift, fairness, organize, search, snapshots
 from attestry.schema import FIELDS, with_defaults
-from attestry.sources import catalog, files
+from attestry.sources import catalog, extract, files
 from attestry.streaming import stateful
 
 RECORD = {"id": "a1", "source_file": "torch/nn/module.py", "language": "python", "entity_name": "forward", "entity_type": "method", "start_line": 10}
@@ -170,3 +170,29 @@ def test_passages_are_found_at_punctuation_and_without_long_words(spark, tmp_pat
         con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     got = {(r.doc_id, r.item_id) for r in xref_name_match(spark, str(tmp_path)).collect()}
     assert got == set(con.execute(SQL["xref_name_match"]).fetchall()) == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4)}
+
+
+def test_records_of_json_arrays_and_many_files(spark, tmp_path):
+    """Lines first, then arrays and single objects, by name; malformed ones are skipped."""
+    (tmp_path / "b.jsonl").write_text('{"id": "b1"}\nnot json\n\n{"id": "b2", "other": 1}\n')
+    (tmp_path / "a.json").write_text('[{"id": "a1"},\n {"id": "a2"}]')
+    (tmp_path / "c.json").write_text('{"id": "c1",\n "entity_name": "x"}')
+    (tmp_path / "d.json").write_text("[{broken")
+    for i in range(1100):
+        (tmp_path / f"e{i:04d}.jsonl").write_text(f'{{"id": "e{i}"}}\n')
+    got = files.read_records(spark, f"file://{tmp_path}").orderBy("input_seq").collect()
+    assert [r.id for r in got] == ["b1", "b2", *(f"e{i}" for i in range(1100)), "a1", "a2", "c1"]
+    assert len({r.input_seq for r in got}) == len(got) and got[-1].entity_name == "x"
+
+
+def test_all_names_are_looked_for(spark):
+    """More names than a switch once allowed, and a common word that pairs nothing."""
+    names = spark.range(25_000).select(F.concat(F.lit("n"), "id").alias("id"), F.concat(F.lit("torch.common.name_"), "id", F.lit("_end")).alias("name"))
+    texts = spark.createDataFrame([("t1", "torch.common.name_17_end and torch common"), ("t2", "see torch.common.name_24999_end."), ("n3", "torch.common.name_3_end")], "id string, text string")
+    got = {(r.source, r.target) for r in organize.name_edges(texts, names).collect()}
+    assert got == {("t1", "n17"), ("t2", "n24999")}
+
+
+def test_all_commits_are_listed(spark):
+    log = spark.range(6000).select(F.concat(F.lit("c"), "id", F.lit("|||me|||2020-01-01|||security fix")).alias("value"))
+    assert extract.commits(log).count() == 6000 and extract.commits(log, 10).count() == 10
