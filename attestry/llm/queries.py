@@ -14,8 +14,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.to_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: The chain's categories over the labels, in order.
-TOXIC = {"low_quality": "quality = 0", "toxic": "toxic = 1"}
+#: The chain's categories over the labels, in order: toxic at all, then toxic junk, which only some of the toxic are.
+TOXIC = {"toxic": "toxic = 1", "toxic_junk": "toxic = 1 and quality = 0"}
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

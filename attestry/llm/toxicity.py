@@ -9,25 +9,32 @@ whole, in its own task.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows to learn from, and words of the vocabulary, at most.
 MAX_LABELLED, MAX_WORDS, FOLDS = 12_000, 384, 5
-_WORD = re.compile(r"[^\W\d_]+")
+#: A word, in Spark and in Python alike: a run of letters of the lower-cased text.
+WORD = r"\p{L}+"
+_WORD = regex.compile(WORD)
 
 
 def words(text: str | None) -> set[str]:
-    """Different lower-cased words; what cannot be a word's letter separates."""
+    """Different lower-cased words."""
     return set(_WORD.findall((text or "").lower()))
 
 
+def words_column(text: Column) -> Column:
+    """``words`` as an expression."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0)))
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -108,8 +115,7 @@ def vocabulary(sample: DataFrame, categories: tuple[str, ...], size: int = MAX_W
 
     ``sample``: ``text`` and a 0/1 column for each category. Counted in Spark; ``size`` words come back.
     """
-    clean = F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+", " "), " ")
-    w = sample.select(F.explode(F.array_distinct(clean)).alias("w"), *categories).where("w <> ''")
+    w = sample.select(F.explode(words_column(F.col("text"))).alias("w"), *categories)
     n = sample.agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in categories)).first()
     counts = w.groupBy("w").agg(F.count("*").alias("df"), *(F.sum(c).alias(c) for c in categories)).where("df >= 3")
     score = F.lit(0.0)
@@ -125,18 +131,19 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id_col:
     """Learn a chain from at most ``max_labelled`` labelled documents, those of the least id hashes.
 
     ``categories`` maps a name to a boolean SQL expression over ``labels``, in the chain's order. Labelled rows
-    without a document, and rows with a null id or label, are left out. The sample's ids, at most
+    without a document, and rows with a null id or label, are left out; of documents that share an id the one of the
+    least hash is taken. The sample's ids, at most
     ``max_labelled`` of them, are broadcast; its texts come to the driver in slices.
     """
     names = tuple(categories)
     picked = labels.select(F.col(id_col).alias("__i"), *(F.expr(e).cast("int").alias(n) for n, e in categories.items())).dropna()
-    picked = picked.orderBy(F.xxhash64("__i"), "__i", *names).limit(max_labelled)
-    sample = docs.select(F.col(id_col).alias("__i"), F.col(text).cast("string").alias("text")).join(F.broadcast(picked), "__i")
+    picked = picked.distinct().orderBy(F.xxhash64("__i"), "__i", *names).limit(max_labelled)
+    sample = docs.select(F.col(f"`{id_col}`").alias("__i"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(picked), "__i")
     vocab = vocabulary(sample, names, max_words)
     known = set(vocab)
-    # Only words of the vocabulary reach the driver: at most max_words a row.
-    seen = F.array_join(F.array_intersect(F.split(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}]+", " "), " "), F.array(*map(F.lit, vocab)) if vocab else F.array().cast("array<string>")), " ")
-    rows = sample.select("__i", seen.alias("text"), *names, F.xxhash64("text").alias("key")).limit(2 * max_labelled).collect()
+    # Only words of the vocabulary reach the driver, at most max_words a row; a row for each label.
+    seen = F.array_join(F.array_intersect(words_column(F.col("text")), F.array(*map(F.lit, vocab)) if vocab else F.array().cast("array<string>")), " ")
+    rows = sample.groupBy("__i", *names).agg(F.min(F.struct(F.xxhash64("text").alias("key"), seen.alias("text"))).alias("r")).select("__i", *names, "r.*").collect()
     rows.sort(key=lambda r: (r.key, str(r["__i"])))
     y = np.array([[r[n] for n in names] for r in rows], np.float32).reshape(len(rows), len(names))
     return train([r.text for r in rows], y, names, vocab, np.array([r.key for r in rows], np.int64)) if known or rows else train([], y, names, [], np.zeros(0, np.int64))

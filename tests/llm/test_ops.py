@@ -592,3 +592,120 @@ def test_short_lines_are_candidates_as_often_as_long_ones(spark):
     signed, _ = line_dedup.signatures(t, Scratch(spark, "t"))
     bands = {r.id: set(r.bands) for r in signed.select("id", line_dedup.band_keys().alias("bands")).collect()}
     assert sum(bool(bands[2 * i] & bands[2 * i + 1]) for i in range(len(lines))) >= 0.94 * len(lines)
+
+
+# -- licences over wrapped lines, and chains against brute force ---------------------------------------------------
+
+MIT = """Permission is hereby granted, free of charge, to any person
+obtaining a copy of this software. The above copyright notice and this permission
+notice shall be included in all copies. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+WARRANTY OF ANY KIND."""
+BSD2 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above
+copyright notice.
+2. Redistributions in binary form must
+reproduce the above copyright notice."""
+BSD3 = BSD2 + """
+3. Neither the name of the holder nor the names of its
+contributors may be used to endorse or promote products."""
+GPL2 = """This program is free software; you can redistribute it under the terms of the GNU General
+Public License as published by the Free Software Foundation; either version 2
+of the License, or (at your option) any later
+version."""
+APACHE = """Licensed under the Apache
+License, Version 2.0 (the "License")."""
+
+
+@pytest.mark.parametrize("mark", ["", "# ", "// ", " * "])
+def test_wrapped_licence_headers(spark, mark):
+    texts = {"MIT": MIT, "BSD-2-Clause": BSD2, "BSD-3-Clause": BSD3, "GPL-2.0-or-later": GPL2, "Apache-2.0": APACHE, "Apache-2.0,MIT": "under the MIT license or Apache License 2.0", "GPL-3.0-or-later": "SPDX-License-Identifier: GPL-3.0-or-later", "SPDX": "SPDX-License-Identifier: Zlib"}
+    d = spark.createDataFrame([(i, "\n".join(mark + x for x in t.split("\n"))) for i, t in enumerate(texts.values())], "doc_id bigint, text string")
+    got = license_scan.scan(d).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == list(texts)
+
+
+def test_licence_sql_says_the_same(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    texts = [MIT, BSD3, GPL2, APACHE, *ODD, "released into the public  domain", "a\r\n\r\n# cc by\n#\n# all rights\treserved"]
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    want = con.execute(license_scan.oracle()).fetchall()
+    got = license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.select("doc_id", "sentence_ids", "licenses", "n_sentences").collect())) == sorted(want)
+
+
+def test_chain_scores_by_brute_force(spark):
+    """Every probability from the weights alone, word by word, earlier categories first."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    chain = toxicity.fit(d, labels, queries.TOXIC)
+    assert chain.categories == ("toxic", "toxic_junk") and [len(w) - len(chain.weights[0]) for w in chain.weights] == [0, 1]
+    text = {r.doc_id: r.text for r in d.collect()}
+    for r in toxicity.score(d, chain).collect():
+        has, earlier = toxicity.words(text[r.doc_id]), []
+        for name, w, cut in zip(chain.categories, chain.weights, chain.thresholds):
+            z = float(w[-1]) + sum(float(w[i]) for x, i in chain.vocabulary.items() if x in has) + sum(float(w[len(chain.vocabulary) + k]) * p for k, p in enumerate(earlier))
+            p = 1 / (1 + np.exp(-z))
+            assert abs(r[f"p_{name}"] - p) < 2e-4 and (r[name] == (p >= cut) or abs(p - cut) < 2e-4)
+            earlier.append(p)
+
+
+def test_words_are_the_same_in_both_engines(spark):
+    texts = ["Grün, naïve ΣΟΦΟΣ x² Ⅷ १२ a_b 中文 don't", None, "", "A1b", "😀é"]
+    got = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").select("doc_id", toxicity.words_column(F.col("text")).alias("w")).collect()
+    assert {r.doc_id: set(r.w) for r in got} == {i: toxicity.words(t) for i, t in enumerate(texts)}
+
+
+def test_quality_verdict_is_the_rules(spark):
+    """``kept`` is what the learned rules say of each row, and both verdicts occur."""
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    rules = quality.fit(d, labels)
+    out = quality.judged(d, rules).collect()
+    for r in out:
+        s = r["__stats"].asDict()
+        failed = s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]
+        hit = next((x.keep for x in rules if x.covers(s)), True)
+        assert r["__base_failed"] == failed and r["__kept"] == (not failed and hit)
+    assert rules and len({r["__kept"] for r in out}) == 2
+
+
+def test_islands_beat_best_fit(spark):
+    """Lengths that fill 11 bins of 100; best fit needs 12."""
+    counts, capacity = {17: 3, 47: 4, 31: 1, 5: 1, 36: 1, 13: 5, 4: 1, 26: 3, 19: 4, 21: 5, 2: 2, 35: 2, 23: 2, 3: 1, 33: 1, 27: 5, 45: 1, 9: 1, 6: 1, 41: 1, 12: 1, 8: 1, 24: 2, 1: 1}, 100
+    plan = packing.islands(spark, counts, capacity)
+    assert packing.bins(packing.best_fit(counts, capacity)) == 12 and packing.bins(plan) == packing.bound(counts, capacity) == 11
+    held = collections.Counter()
+    for content, n in plan:
+        assert sum(content) <= capacity
+        for k in content:
+            held[k] += n
+    assert dict(held) == counts
+
+
+@pytest.mark.parametrize("name", ["row", "doc", "t", "t1", "k", "lost", "blob", "spans", "__t", "__row", "__stats", "__kept", "__blob", "__gone", "r1", "id", "at"])
+def test_inner_names_do_not_clash(spark, name):
+    texts = ["password = hunter22 " + " ".join(f"word{i}" for i in range(60)), "x\nx\ny", None]
+    d = spark.createDataFrame([(None, t, 7) for t in texts], f"doc_id bigint, text string, `{name}` int")
+    for out in (quality.kept_rows(d, []), line_dedup.dedup(d), secret_scan.mask(d), simhash.keep_one(d), simhash.keep_one_alike(d)) if name in ("row", "__t", "id") else (quality.kept_rows(d, []), secret_scan.mask(d)):
+        assert out.columns == d.columns and all(r[name] == 7 for r in out.collect())
+
+
+def test_secret_rules_are_linear_and_versioned():
+    import time
+
+    began = time.perf_counter()
+    assert secret_scan.find("eyJ" * 200_000) == []
+    assert time.perf_counter() - began < 2
+    assert secret_scan.find("x eyJabcdefgh.abcdefgh.abcdefgh y") == [("jwt", 2, 31)]
+
+
+def test_two_appends_of_a_blob_count_once(spark, tmp_path):
+    ledger = f"file://{tmp_path}/ledger"
+    d = docs(spark, SECRETS)
+    secret_scan.findings(d, ledger=ledger)
+    again = spark.read.parquet(ledger).collect()
+    spark.createDataFrame(again, secret_scan._LEDGER).write.mode("append").parquet(ledger)
+    assert secret_scan.findings(d, ledger=ledger).count() == len(SECRETS)
