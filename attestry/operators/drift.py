@@ -19,14 +19,19 @@ def kl_drift(df: DataFrame, seq: str, vector: str, batch: int = 50, baseline_bat
     ``seq`` numbers the samples from 0 without gaps. A batch's window is made of whole batches, so moments of
     (batch, dimension) cells - pre-aggregated before any shuffle - are all that the windows see.
     """
-    whole = window // batch
-    cells = exploded(df, seq, vector).groupBy(F.floor(F.col("seq") / batch).alias("batch"), "dim").agg(F.count("*").alias("n"), F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
+    if window % batch:
+        raise ValueError("the window is to be a multiple of the batch")
+    cells = exploded(df, seq, vector).groupBy(F.floor(F.col("seq") / batch).alias("batch"), "dim").agg(F.count("*").alias("n"), F.avg("x").alias("m"), F.var_pop("x").alias("v"))
+    early = cells.where(F.col("batch") < baseline_batches).groupBy("dim").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("at"))
+    # Moments are taken about the baseline's mean, so that a large mean cancels nothing.
+    off = F.col("m") - F.col("at")
+    cells = cells.join(early, "dim").select("batch", "dim", "n", "at", (F.col("n") * off).alias("s"), (F.col("n") * (F.col("v") + off * off)).alias("q"))
     variance = lambda n, s, q: F.greatest((q - s * s / n) / (n - 1), F.lit(1e-8))
     n, s, q = F.col("n"), F.col("s"), F.col("q")
-    base = cells.where(F.col("batch") < baseline_batches).groupBy("dim").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).select("dim", (s / n).alias("m0"), variance(n, s, q).alias("v0"))
-    w = Window.partitionBy("dim").orderBy("batch").rowsBetween(1 - whole, 0)
+    base = cells.where(F.col("batch") < baseline_batches).groupBy("dim", "at").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q")).select("dim", "at", (F.col("at") + s / n).alias("m0"), variance(n, s, q).alias("v0"))
+    w = Window.partitionBy("dim").orderBy("batch").rowsBetween(1 - window // batch, 0)
     cur = cells.select("batch", "dim", F.sum("n").over(w).alias("n"), F.sum("s").over(w).alias("s"), F.sum("q").over(w).alias("q")).where((F.col("n") >= window) & (F.col("batch") >= baseline_batches))
-    joined = cur.select("batch", "dim", (s / n).alias("m"), variance(n, s, q).alias("v")).join(base, "dim")
+    joined = cur.join(base, "dim").select("batch", "m0", "v0", (F.col("at") + s / n).alias("m"), variance(n, s, q).alias("v"))
     g = joined.groupBy("batch").agg(F.avg(kl(F.col("m0"), F.col("v0"), F.col("m"), F.col("v"))).alias("kl"))
     return g.select("batch", F.round("kl", 6).alias("kl"), (F.col("kl") > threshold).alias("drift"))
 

@@ -96,9 +96,9 @@ def expr_json_salvage(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", exprs.json_salvage(text).alias("found"))
 
 
-@query("""select doc_id, length(left(text, n)) - length(replace(left(text, n), chr(10), '')) + 1 as line_no from (select doc_id, text, cast(length(text) / 2 as integer) n from documents where text is not null)""")
+@query("""select doc_id, length(left(text, n)) - length(replace(left(text, n), chr(10), '')) + 1 as line_no from (select doc_id, text, length(text) // 2 n from documents where text is not null)""")
 def expr_line_of(spark, sf_dir):
-    t = table(spark, sf_dir, "documents").where("text is not null").withColumn("before", F.expr("substring(text, 1, cast(round(length(text) / 2) as int))"))
+    t = table(spark, sf_dir, "documents").where("text is not null").withColumn("before", F.expr("substring(text, 1, length(text) div 2)"))
     return t.select("doc_id", exprs.line_of(F.col("before")).cast("long").alias("line_no"))
 
 
