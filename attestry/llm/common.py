@@ -69,7 +69,7 @@ class Scratch:
         path = os.path.join(self.root, f"{self._n:03d}-{label}")
         self._n += 1
         with self._tidy():
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
@@ -80,7 +80,7 @@ class Scratch:
         self._n += 1
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         with self._tidy():
-            df.write.option("parquet.enable.dictionary", "false").bucketBy(n, key).option("path", path).saveAsTable(name)
+            df.write.option("compression", "zstd").option("parquet.enable.dictionary", "false").bucketBy(n, key).option("path", path).saveAsTable(name)
         out = self.spark.table(name)
         out._scratch_path = path
         return out
