@@ -531,6 +531,23 @@ def test_no_candidate_is_left_out(spark, monkeypatch, large):
     assert {r.node: r.root for r in got} == {k: r for k, r in want.items() if k != r}
 
 
+def test_sketches_lose_no_pair_at_the_threshold(spark):
+    """Sets of 4 to 2,000 elements and copies with some exchanged: whoever reaches 0.8 is close, few below 0.7 are."""
+    rng = random.Random(12)
+    sets = {}
+    for i in range(300):
+        x = {rng.getrandbits(62) for _ in range(rng.choice((4, 5, 9, 40, 150, 300, 2000)))}
+        lost = set(rng.sample(sorted(x), int(len(x) * rng.choice((0, 0.1, 0.11, 0.12, 0.2, 0.25)))))
+        sets[2 * i], sets[2 * i + 1] = x, x - lost | {rng.getrandbits(62) for _ in lost}
+    jaccard = {2 * i: len(sets[2 * i] & sets[2 * i + 1]) / len(sets[2 * i] | sets[2 * i + 1]) for i in range(300)}
+    sk = line_dedup._sketches(spark.createDataFrame([(i, h) for i, x in sets.items() for h in x], "id bigint, h bigint")).cache()
+    other = sk.select((F.col("id") - 1).alias("id"), F.col("e").alias("p_e"), F.col("e_n").alias("p_e_n"))
+    close = {r.id for r in sk.join(other, "id").where("id % 2 = 0").where(line_dedup._close(0.8)).collect()}
+    assert {i for i, j in jaccard.items() if j >= 0.8} <= close
+    far = [i for i, j in jaccard.items() if j < 0.7 and 40 <= len(sets[i]) <= 300]
+    assert sum(i in close for i in far) <= 0.2 * len(far) and far
+
+
 def test_lines_that_share_a_key_are_told_apart(spark, monkeypatch):
     """Four keys for all lines: copies still go, different lines stay."""
     monkeypatch.setattr(line_dedup, "key_of", lambda line: F.length(line) % 4)
