@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -548,6 +549,49 @@ def test_sketches_lose_no_pair_at_the_threshold(spark):
     assert sum(i in close for i in far) <= 0.2 * len(far) and far
 
 
+def test_conditions_on_candidates_are_compiled(spark):
+    """A generated method of over 8,000 bytes is only interpreted by the JVM: candidates then cost ten times as much."""
+    longs = ", ".join(f"{c} bigint" for c in ("id", "band", "root", "e_n", *(f"s{k}" for k in range(line_dedup.MINIMA // 4))))
+    d = spark.createDataFrame([], f"{longs}, e array<bigint>").union(spark.createDataFrame([(*([1] * 10), [1] * 8)], f"{longs}, e array<bigint>")).repartition("band")
+    p = d.select("band", *(F.col(c).alias(f"p_{c}") for c in d.columns if c != "band")).hint("merge")
+    found = d.join(p, "band").where((F.col("id") < F.col("p_id")) & (F.col("root") != F.col("p_root")) & line_dedup.likely() & F.coalesce(line_dedup._close(0.8), F.lit(True)))
+    found.collect()
+    code = spark._jvm.org.apache.spark.sql.execution.debug.__getattr__("package$").__getattr__("MODULE$").codegenStringSeq(found._jdf.queryExecution().executedPlan())
+    sizes = [code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_likely_counts_equal_minima(spark):
+    rng = random.Random(13)
+    lanes = lambda x: [sum((v & 0x3FFF) << 16 * i for i, v in enumerate(x[k : k + 4])) for k in range(0, line_dedup.MINIMA, 4)]
+    rows, same = [], {}
+    for i in range(400):
+        x = [rng.choice((0, 1, 0x3FFF, 0x2000, rng.getrandbits(14))) for _ in range(line_dedup.MINIMA)]
+        y = [v if rng.random() < 0.65 else rng.choice((0, 1, 0x3FFF, 0x2000, v ^ 1)) for v in x]
+        same[i] = sum(a == b for a, b in zip(x, y))
+        rows.append((i, *lanes(x), *lanes(y)))
+    n = line_dedup.MINIMA // 4
+    d = spark.createDataFrame(rows, ", ".join(["id int", *(f"s{k} bigint" for k in range(n)), *(f"p_s{k} bigint" for k in range(n))]))
+    assert {r.id for r in d.where(line_dedup.likely()).collect()} == {i for i, k in same.items() if k >= line_dedup.AGREE}
+
+
+def test_a_bucket_of_two_is_settled_by_its_pivot(spark, monkeypatch):
+    """Only buckets that can still hold a pair which was not compared are looked at again."""
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, label="t": saved.append(label) or save(self, df, label))
+    member = spark.createDataFrame([(b, 2 * b + i) for b in range(5) for i in (0, 1)], "band bigint, id bigint")
+    line_dedup.settle(member, Scratch(spark, "t"), F.lit(True), lambda pairs: pairs.where("a < 0"), lambda ids: ids.withColumn("h", F.col("id")))
+    assert "rest" not in saved and "open" in saved
+
+
+def test_only_what_is_read_later_stays_on_disk(spark, monkeypatch):
+    made, init = [], Scratch.__init__
+    monkeypatch.setattr(Scratch, "__init__", lambda self, *a: init(self, *a) or made.append(self))
+    out = line_dedup.dedup(docs(spark, ["a line that is said\nand another one", "a line that is said"]))
+    left = [p for s in made for p in pathlib.Path(s.root.removeprefix("file:")).iterdir()]
+    assert [p.name.split("-", 1)[1] for p in left] == ["gone"] and out.count() == 2
+
+
 def test_lines_that_share_a_key_are_told_apart(spark, monkeypatch):
     """Four keys for all lines: copies still go, different lines stay."""
     monkeypatch.setattr(line_dedup, "key_of", lambda line: F.length(line) % 4)
