@@ -80,16 +80,21 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
     A-Z is lower-cased; words are runs of characters other than ASCII white space; shingles are k words
     joined by a space, repeats included. Fewer words: one shingle of them all. No words or null: zero.
     """
+    return _fingerprint(shingle_hashes(text, k)[1])
+
+
+def shingle_hashes(text: str | None, k: int) -> tuple[bytes, np.ndarray]:
+    """The words joined by a space, and the hashes of all shingles in order; words and shingles as in ``fingerprint``."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
+    joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     if len(words) <= k:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64).view(np.int64)[0].item()
+        return joined, np.array([digest(joined, SEED)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = [0, *(ends[: -k].tolist())]
-    digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(words) - k + 1)
+    return joined, np.fromiter((digest(joined[a : b - 1], SEED) for a, b in zip(starts, ends[k - 1 :].tolist())), np.uint64, len(words) - k + 1)
+
+
+def _fingerprint(h: np.ndarray) -> int:
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)[0].item()
 
@@ -140,13 +145,30 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
 
     ``fps`` has a column ``fp`` without repeats.
     """
-    keyed = fps.select("fp").mapInArrow(_keys, "fp bigint, key bigint")
-    shared = scratch.save(keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("key"), "keys")
-    near = keyed.join(shared, "key", "left_semi").select("fp", "key").mapInArrow(_midpoints, "fp bigint, mid bigint")
+    near = _near(fps, scratch)
     group = near.groupBy("mid").agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
     return group.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b").distinct()
 
 
+def _near(fps: DataFrame, scratch: Scratch) -> DataFrame:
+    """``fp`` and ``mid``, the neighbours that decode to a key which another fingerprint has too."""
+    keyed = fps.select("fp").mapInArrow(_keys, "fp bigint, key bigint")
+    shared = scratch.save(keyed.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo < hi").select("key"), "keys")
+    return keyed.join(shared, "key", "left_semi").select("fp", "key").mapInArrow(_midpoints, "fp bigint, mid bigint")
+
+
+def near_buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``band`` and ``id`` of the ``nodes (id, fp)``: all whose fingerprints differ in two bits or fewer share a bucket.
+
+    A bucket is a midpoint of two or more fingerprints, or a fingerprint of two or more nodes.
+    """
+    fps = scratch.save(nodes.groupBy("fp").agg(F.count("*").alias("m")), "fps")
+    near = scratch.save(_near(fps, scratch).distinct(), "mids")
+    shared = near.groupBy("mid").agg(F.count("*").alias("m")).where("m > 1").select("mid")
+    met = near.join(shared, "mid").unionByName(fps.where("m > 1").select("fp", F.col("fp").alias("mid"))).distinct()
+    return nodes.select("id", "fp").join(met, "fp").select(F.xxhash64(F.lit("simhash"), "mid").alias("band"), "id")
+
+
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = SHINGLE) -> DataFrame:
     """One row per input row: ``id_col``, ``fp`` (signed long), ``component_id`` (least id reachable).
 
@@ -184,6 +206,7 @@ def _one_each(df: DataFrame, rows: DataFrame, comp: DataFrame, node: str, scratc
     named = rows.join(comp.withColumnRenamed("node", node), node, "left").withColumn("root", F.coalesce("root", node))
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", node, "r1", "r2")
     first = scratch.save(named.groupBy("root").agg(F.min(order).alias("at")).select("at.r1", "at.r2"), "first")
+    scratch.free_but(first)
     kept = _row_keys(df, id_col, text, keep="row").join(first, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
     return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
@@ -205,9 +228,8 @@ _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, ROWS * BANDS, np.uint64)
 
 def shingle_set(text: str | None, k: int) -> tuple[bytes, np.ndarray]:
     """The words joined by a space, and the hashes of the different shingles, sorted; words as in ``fingerprint``."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    grams = {b" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else ()
-    return b" ".join(words), np.unique(np.fromiter((xxhash.xxh64_intdigest(g, SEED) for g in grams), np.uint64, len(grams)))
+    joined, h = shingle_hashes(text, k)
+    return joined, np.unique(h)
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -220,31 +242,36 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """(text, id and row hash) -> (id and row hash, node, n, bands); a text without words has no bands."""
+    """(text, id and row hash) -> (id and row hash, node, n, fp, bands); a text without words has no bands."""
     for b in batches:
-        node, n, bands = [], [], []
-        for t in b.column(0).to_pylist():
-            joined, h = shingle_set(t, k)
+        node, n, fp, bands = [], [], [], []
+        for t in b.column(0):  # one text at a time is a Python string
+            joined, every = shingle_hashes(t.as_py(), k)
+            h = np.unique(every)
             node.append(xxhash.xxh3_128_digest(joined))
             n.append(len(h))
+            fp.append(_fingerprint(every) if len(h) else 0)
             bands.append(band_keys(h) if len(h) else [])
-        arrays = [*(b.column(i) for i in range(1, b.num_columns)), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names[1:], "node", "n", "bands"])
+        arrays = [*(b.column(i) for i in range(1, b.num_columns)), pa.array(node, pa.binary()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names[1:], "node", "n", "fp", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(text, id) -> (id, h)."""
-    for b in batches:
-        h = [shingle_set(t, k)[1].view(np.int64) for t in b.column(0).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(1), pa.array(h, pa.list_(pa.int64()))], names=["id", "h"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            b = whole.slice(at, 256)
+            h = [shingle_set(t, k)[1].view(np.int64) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(h, pa.list_(pa.int64()))], names=["id", "h"])
 
 
 def keep_one_alike(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, threshold: float = THRESHOLD) -> DataFrame:
     """As ``keep_one``, with texts linked if the Jaccard similarity of their shingle sets reaches ``threshold``.
 
-    At a similarity of 0.8 about 10 of 64 fingerprint bits differ, a distance that Golay keys do not span and that
-    texts with nothing in common come near, so MinHash keys name the candidates. Each is verified by the
-    sets themselves; the buckets are settled in rounds (``line_dedup.settle``), so that no candidate is left out.
+    Candidates are all texts whose fingerprints differ in at most two bits, by their Golay keys (``near_buckets``). At a
+    similarity of 0.8 about 10 of 64 bits differ, a distance that Golay keys do not span and that texts with nothing in
+    common come near, so MinHash keys name further candidates. Each is verified by the sets themselves; the
+    buckets are settled in rounds (``line_dedup.settle``), so that no candidate is left out.
     Texts with the same words are one node, and texts without words (null and empty ones) another. Ids are no keys, as
     in ``keep_one``; texts of any length are read whole; columns, whatever their names, are those of ``df``; an empty
     table gives an empty result.
@@ -252,12 +279,13 @@ def keep_one_alike(df: DataFrame, id_col: str = "doc_id", text: str = "text", k:
     scratch = Scratch(df.sparkSession, "alike")
     keyed = _row_keys(df, id_col, text).select(F.col("t").cast("string").alias("t"), "id", "r1", "r2")
     kind = keyed.schema["id"].dataType.simpleString()
-    rows = scratch.save(keyed.mapInArrow(lambda it: _signed(it, k), f"id {kind}, r1 bigint, r2 bigint, node binary, n bigint, bands array<bigint>"), "rows")
-    node = rows.groupBy("node").agg(F.first("n").alias("size"), F.first("bands").alias("bands"), F.min(F.struct("r1", "r2")).alias("at"))
+    rows = scratch.save(keyed.mapInArrow(lambda it: _signed(it, k), f"id {kind}, r1 bigint, r2 bigint, node binary, n bigint, fp bigint, bands array<bigint>"), "rows")
+    node = rows.groupBy("node").agg(F.first("n").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("r1", "r2")).alias("at"))
     node = scratch.save(node.withColumnRenamed("node", "id"), "nodes")
     banded = node.select("id", "size", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("m")).where("m > 1").select("band")
-    member = scratch.save(banded.join(shared, "band").select("band", "id", "size"), "members")
+    close = near_buckets(node.where("size > 0"), scratch).join(node.select("id", "size"), "id")
+    member = scratch.save(banded.join(shared, "band").select("band", "id", "size").unionByName(close.select("band", "id", "size")), "members")
     at = node.join(member.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("node"), "at.r1", "at.r2")
     texts = keyed.join(at, ["r1", "r2"]).dropDuplicates(["r1", "r2"]).select("t", F.col("node").alias("id"))
     sets = scratch.save(texts.mapInArrow(lambda it: _sets(it, k), "id binary, h array<bigint>"), "sets")

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from conftest import TABLES
@@ -148,6 +149,26 @@ def test_near_copies_are_linked_at_their_similarity(spark):
     assert simhash.keep_one_alike(d.limit(0)).count() == 0
 
 
+def test_simhash_names_candidates_of_the_near_copies(spark, monkeypatch):
+    """Fingerprints within two bits share a bucket, as do texts of one fingerprint; and the pipeline's stage takes them."""
+    rng = random.Random(14)
+    fps = [rng.getrandbits(64) for _ in range(12)]
+    fps += [x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for x in fps for _ in range(3)] + fps[:3]
+    signed = np.array(fps, np.uint64).view(np.int64).tolist()
+    got = simhash.near_buckets(spark.createDataFrame(list(enumerate(signed)), "id bigint, fp bigint"), Scratch(spark, "t")).collect()
+    held = collections.defaultdict(set)
+    for r in got:
+        held[r.band].add(r.id)
+    met = {(a, b) for x in held.values() for a in x for b in x if a < b}
+    assert met == {(a, b) for b in range(len(fps)) for a in range(b) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    # MinHash keys that nothing shares: what is found then, SimHash found.
+    monkeypatch.setattr(simhash, "_signed", lambda it, k, whole=simhash._signed: (b.set_column(b.num_columns - 1, "bands", pa.array([[]] * b.num_rows, pa.list_(pa.int64()))) for b in whole(it, k)))
+    base = " ".join(f"w{i * 7919 % 3001}" for i in range(1500))
+    texts = [base, base + " more", base + " else", " ".join(f"v{i * 7907 % 3001}" for i in range(1500))]
+    assert max((brute_fingerprint(base, 5) ^ brute_fingerprint(t, 5)).bit_count() for t in texts[1:3]) <= 2
+    assert {r.doc_id for r in simhash.keep_one_alike(docs(spark, texts)).collect()} == {0, 3}
+
+
 def test_components_follow_chains(spark):
     scratch, n = Scratch(spark, "t"), 40
     e = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(99, 99), (None, 5), (70, 71), (71, 70)], "a bigint, b bigint")
