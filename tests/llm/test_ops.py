@@ -605,6 +605,16 @@ def test_a_bucket_of_two_is_settled_by_its_pivot(spark, monkeypatch):
     assert "rest" not in saved and "open" in saved
 
 
+def test_lines_that_are_near_no_pivot_are_not_sketched(spark, monkeypatch):
+    """Chance meetings in wide buckets grow with the square of the table; their shingles are not made for a sketch."""
+    made, sketches = [], line_dedup._sketches
+    monkeypatch.setattr(line_dedup, "_sketches", lambda e: made.append(e.count()) or sketches(e))
+    member = spark.createDataFrame([(1, i) for i in range(80)], "band bigint, id bigint")
+    near = F.col("id") % 40 == F.col("p_id") % 40
+    comp = line_dedup.settle(member, Scratch(spark, "t"), near, lambda pairs: pairs.select("a", "b"), lambda ids: ids.withColumn("h", F.col("id") % 40))
+    assert {(r.node, r.root) for r in comp.collect()} == {(i + 40, i) for i in range(40)} and sum(made) < 40
+
+
 def test_only_what_is_read_later_stays_on_disk(spark, monkeypatch):
     made, init = [], Scratch.__init__
     monkeypatch.setattr(Scratch, "__init__", lambda self, *a: init(self, *a) or made.append(self))
