@@ -596,6 +596,41 @@ def test_likely_counts_equal_minima(spark):
     assert {r.id for r in d.where(line_dedup.likely()).collect()} == {i for i, k in same.items() if k >= line_dedup.AGREE}
 
 
+def test_buckets_of_two_are_pairs_without_a_join(spark):
+    """Whoever agrees in enough minima is a pair; of unlike signatures few are."""
+    rng = random.Random(14)
+    n, rows, same = line_dedup.MINIMA, [], {}
+    lanes = lambda x: [sum(v << 16 * i for i, v in enumerate(x[k : k + 4])) for k in range(0, n, 4)]
+    for i in range(400):
+        x = [rng.choice((0, 0x3FFF, rng.getrandbits(14))) for _ in range(n)]
+        y = [v if rng.random() < i / 400 else rng.getrandbits(14) for v in x]
+        same[i] = sum(a == b for a, b in zip(x, y))
+        # The ids' order is not that of the rows; one is negative.
+        a, b = (i - 400, 7**9 * (i + 1)) if i % 2 else (7**9 * (i + 1), i - 400)
+        rows += [(i, a, *lanes(x)), (i, b, *lanes(y))]
+    d = spark.createDataFrame(rows, ", ".join(["band bigint", "id bigint", *(f"s{k} bigint" for k in range(n // 4))]))
+    got = {(r.a, r.b) for r in line_dedup.pairs_of_two(d).collect()}
+    assert {(i - 400, 7**9 * (i + 1)) for i, k in same.items() if k >= line_dedup.AGREE} <= got
+    assert sum((i - 400, 7**9 * (i + 1)) in got for i, k in same.items() if k <= 6) <= 0.2 * sum(k <= 6 for k in same.values())
+
+
+def test_only_lines_of_near_pairs_are_taken_out_for_their_texts(spark, monkeypatch):
+    """Lines that share a key by chance are no pair: their texts are not moved or hashed."""
+    taken, bucketed = [], Scratch.bucketed
+
+    def seen(self, df, key, label):
+        out = bucketed(self, df, key, label)
+        taken.extend(r.line for r in out.collect()) if label == "texts" else None
+        return out
+
+    monkeypatch.setattr(Scratch, "bucketed", seen)
+    monkeypatch.setattr(line_dedup, "band_keys", lambda: F.array(F.lit(1).cast("long")))
+    far = ["a line about one thing and no other", "0123456789 8642097531 and so forth"]
+    assert not line_dedup.line_components(docs(spark, far), Scratch(spark, "t")).count() and not taken
+    near = ["a line about one thing and no other, said twice in a row", "a line about one thing and no other, said twice in a row!"]
+    assert line_dedup.line_components(docs(spark, [*near, far[1]]), Scratch(spark, "t")).count() == 1 and sorted(set(taken)) == near
+
+
 def test_a_bucket_of_two_is_settled_by_its_pivot(spark, monkeypatch):
     """Only buckets that can still hold a pair which was not compared are looked at again."""
     saved, save = [], Scratch.save
