@@ -78,20 +78,28 @@ def relation_edges(df: DataFrame) -> DataFrame:
 def name_edges(texts: DataFrame, names: DataFrame, min_name: int = 8, min_token: int = 4) -> DataFrame:
     """``(source, target, name)`` where a text holds another record's name.
 
-    ``texts(id, text)``, ``names(id, name)``. A name is looked for by one of its tokens, the one that the fewest texts
-    hold, so that common words pair nothing; candidates are verified by containment. Names without a token of
-    ``min_token`` characters have no edges. Of several records with one name the last is its target, by id. All names are
-    looked for, however many there are.
+    ``texts(id, text)``, ``names(id, name)``. Names without a token (between dots and underscores) of ``min_token`` characters
+    that starts with a letter have no edges. Of several records with one name the last is its target, by id. All names
+    are looked for, however many there are and however common their words.
+
+    Equal texts are searched once. A text is cut only where a name may lie: ``min_name`` code units after a dot or an
+    underscore (at every place, if there are names without one early enough) tell how long the names are that go on like
+    this, and how far they start before; what is cut out meets the one name that it equals.
     """
-    n = names.where(F.length("name") >= min_name).groupBy("name").agg(F.max("id").alias("target"))
-    word = texts.select(F.col("id").alias("source"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"[a-zA-Z_]\w{{{min_token - 1},}}"), F.lit(0)))).alias("word"))
-    # A name may stand inside a longer word, so words are cut like names.
-    word = word.select("source", F.explode(F.array_distinct(F.concat(F.array("word"), F.split("word", "[._]")))).alias("token")).where(F.length("token") >= min_token).distinct()
-    token = n.select("target", "name", F.explode(F.array_distinct(F.filter(F.split("name", r"[._]"), lambda x: F.length(x) >= min_token))).alias("token"))
-    df = word.join(token.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("df"))
-    rarest = token.join(df, "token").groupBy("target", "name").agg(F.min(F.struct("df", "token")).alias("t")).select("target", "name", F.col("t.token").alias("token"))
-    pairs = word.join(rarest, "token").select("source", "target", "name").distinct()
-    return pairs.join(texts.select(F.col("id").alias("source"), "text"), "source").where((F.col("source") != F.col("target")) & F.col("text").contains(F.col("name"))).select("source", "target", "name")
+    wide = 2 * min_name
+    n = names.where((F.length("name") >= min_name) & F.col("name").rlike(rf"(^|[._])[a-zA-Z][^._]{{{min_token - 1},}}")).groupBy("name").agg(F.max("id").alias("target"))
+    # Code units are found by their place; characters would have to be counted.
+    n = n.withColumns({"u": F.encode("name", "UTF-16BE"), "sep": F.length(F.encode(F.regexp_extract("name", "^[^._]*[._]", 0), "UTF-16BE"))})
+    n = n.withColumns({"size": F.length("u"), "off": F.when(F.col("sep") + wide <= F.length("u"), F.col("sep")).otherwise(0)})
+    shape = n.select(F.xxhash64(F.expr(f"substring(u, off + 1, {wide})")).alias("h"), "off", "size").distinct()
+    t = texts.where(F.length("text") >= min_name).select("text").distinct().select(F.xxhash64("text").alias("k"), F.encode("text", "UTF-16BE").alias("u"))
+    place = t.join(F.broadcast(n.agg(F.bool_or(F.col("off") == 0).alias("all"))), how="cross").select("k", "u", "all", F.explode(F.expr(f"sequence(1, length(u) - {wide} + 1, 2)")).alias("at"))
+    place = place.where("all or substring(u, at - 2, 2) in (X'002E', X'005F') and at > 2").select("k", "at", F.xxhash64(F.expr(f"substring(u, at, {wide})")).alias("h"))
+    # Hashes that collide name more places, never fewer; what is cut out is compared as it is.
+    cut = place.join(shape, "h").where("at > off").select("k", (F.col("at") - F.col("off")).alias("at"), "size").distinct()
+    found = cut.join(t, "k").select("k", F.expr("substring(u, at, size)").alias("u")).join(n.select("u", "target", "name"), "u").select("k", "target", "name").distinct()
+    held = texts.select(F.col("id").alias("source"), "text", F.xxhash64("text").alias("k")).join(found, "k")
+    return held.where((F.col("source") != F.col("target")) & F.col("text").contains(F.col("name"))).select("source", "target", "name")
 
 
 def co_members(df: DataFrame, by: str, member: str) -> DataFrame:

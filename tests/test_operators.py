@@ -193,6 +193,14 @@ def test_all_names_are_looked_for(spark):
     assert got == {("t1", "n17"), ("t2", "n24999")}
 
 
+def test_names_are_found_wherever_they_lie(spark):
+    """Inside longer words, after a wide character, in equal texts, and whatever words other texts hold."""
+    names = spark.createDataFrame([("a", "cream.soda"), ("b", "DataLoader"), ("c", "long_name.x"), ("d", "ab.cd.12345")], "id string, name string")
+    texts = spark.createDataFrame([(1, "icecream.sodas"), (2, "one cream"), (3, "soda"), (4, "soda \U0001F600 MyDataLoaderX"), (5, "a long_name.xy"), (6, "a long_name.xy"), (7, "ab.cd.12345"), (8, None)], "id int, text string")
+    got = sorted((r.source, r.target) for r in organize.name_edges(texts.withColumn("id", F.col("id").cast("string")), names).collect())
+    assert got == [("1", "a"), ("4", "b"), ("5", "c"), ("6", "c")]
+
+
 def test_all_commits_are_listed(spark):
     log = spark.range(6000).select(F.concat(F.lit("c"), "id", F.lit("|||me|||2020-01-01|||security fix")).alias("value"))
     assert extract.commits(log).count() == 6000 and extract.commits(log, 10).count() == 10
