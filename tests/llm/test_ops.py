@@ -836,3 +836,18 @@ def test_two_appends_of_a_blob_count_once(spark, tmp_path):
     again = spark.read.parquet(ledger).collect()
     spark.createDataFrame(again, secret_scan._LEDGER).write.mode("append").parquet(ledger)
     assert secret_scan.findings(d, ledger=ledger).count() == len(SECRETS)
+
+
+def test_keys_are_dealt_once_and_in_parts(spark):
+    """Members of all shared buckets, by brute force; a written table for each part of the bands."""
+    words = [f"s{k}" for k in range(line_dedup.MINIMA // 4)]
+    minima = [F.shiftleft(F.floor(F.col("id") % 97 / (j + 7)).cast("long") + j, 3) for j in range(len(words))]
+    signed = spark.range(400).select("id", (F.col("id") % 2).cast("int").alias("kind"), *(m.alias(w) for m, w in zip(minima, words)))
+    member, parts = line_dedup.buckets(signed, Scratch(spark, "t"))
+    groups = {}
+    for r in signed.select("id", "kind", line_dedup.band_keys().alias("keys")).collect():
+        for key in r.keys:
+            groups.setdefault(key & -2 | r.kind, []).append(r.id)
+    want = sorted((band, i, len(ids)) for band, ids in groups.items() if len(ids) > 1 for i in ids)
+    assert want and sorted((r.band, r.id, r.n) for r in member.collect()) == want
+    assert len(parts) == line_dedup.BANDS // line_dedup.AT_ONCE > 1
