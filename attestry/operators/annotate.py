@@ -71,19 +71,28 @@ def structural_tags() -> Column:
     return F.array_distinct(F.concat(*(F.when(test, _tags(*tags)).otherwise(_none()) for test, tags in rules)))
 
 
-def phrase_tags(phrases: list[tuple[str, list[str]]], doc: Column) -> tuple[Column, Column]:
-    """Tags and matched phrases (sorted) of a text, phrases tried in order."""
-    low = F.lower(doc)
+def phrase_hits(phrases: list[tuple[str, list[str]]], doc: Column) -> Column:
+    """The phrases (``p``) that a text holds and their tags (``t``), in order."""
     table = F.array(*(F.struct(F.lit(p).alias("p"), F.array(*map(F.lit, t)).alias("t")) for p, t in phrases))
-    hit = F.filter(table, lambda x: F.contains(low, x["p"]))
+    # A lambda's variable keeps its value: the text is lowered once, not for each phrase.
+    return F.element_at(F.transform(F.array(F.lower(doc)), lambda low: F.filter(table, lambda x: F.contains(low, x["p"]))), 1)
+
+
+def hit_tags(hit: Column) -> tuple[Column, Column]:
     return F.flatten(F.transform(hit, lambda x: x["t"])), F.array_sort(F.transform(hit, lambda x: x["p"]))
 
 
+def phrase_tags(phrases: list[tuple[str, list[str]]], doc: Column) -> tuple[Column, Column]:
+    """Tags and matched phrases (sorted) of a text, phrases tried in order."""
+    return hit_tags(phrase_hits(phrases, doc))
+
+
 def tag_articles(df: DataFrame, names: dict[str, list[str]] | None = None, phrases: list[tuple[str, list[str]]] | None = None) -> DataFrame:
     """Three tiers: known names, structure, phrases of the docstring; why is noted if the tags changed."""
     names, phrases = dims.NAMES if names is None else names, dims.PHRASES if phrases is None else phrases
-    by_phrase, said = phrase_tags(phrases, F.col("docstring"))
-    t = once(df, __1=lookup(names, F.col("entity_name")), __2=structural_tags(), __3=by_phrase, __p=said)
+    by_phrase, said = hit_tags(F.col("__hits"))
+    t = once(df, __hits=phrase_hits(phrases, F.col("docstring")))
+    t = once(t, __1=lookup(names, F.col("entity_name")), __2=structural_tags(), __3=by_phrase, __p=said)
     one, two, three = (F.size(c) > 0 for c in ("__1", "__2", "__3"))
     new = add_tags(add_tags(add_tags(F.col("compliance_tags"), F.col("__1")), F.col("__2")), F.col("__3"))
     quoted = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda x: F.concat(F.lit("'"), x, F.lit("'"))), ", "), F.lit("]"))
@@ -95,7 +104,7 @@ def tag_articles(df: DataFrame, names: dict[str, list[str]] | None = None, phras
     conf = F.greatest(F.col("mapping_confidence"), F.when(one, 0.8), F.when(two, 0.85), F.when(three, 0.5))
     t = once(t, __new=new)
     changed = F.size(F.array_except("__new", "compliance_tags")) > 0
-    return t.withColumns({"mapping_confidence": conf, "mapping_rationale": F.when(changed, F.array_join(parts, "; ")).otherwise(F.col("mapping_rationale")), "compliance_tags": F.col("__new")}).drop("__1", "__2", "__3", "__p", "__new")
+    return t.withColumns({"mapping_confidence": conf, "mapping_rationale": F.when(changed, F.array_join(parts, "; ")).otherwise(F.col("mapping_rationale")), "compliance_tags": F.col("__new")}).drop("__hits", "__1", "__2", "__3", "__p", "__new")
 
 
 COMPILED_KEYS = ("CompositeExplicitAutograd", "FuncTorchBatched")

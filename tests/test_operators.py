@@ -204,3 +204,11 @@ def test_names_are_found_wherever_they_lie(spark):
 def test_all_commits_are_listed(spark):
     log = spark.range(6000).select(F.concat(F.lit("c"), "id", F.lit("|||me|||2020-01-01|||security fix")).alias("value"))
     assert extract.commits(log).count() == 6000 and extract.commits(log, 10).count() == 10
+
+
+def test_texts_are_lowered_once(spark):
+    """Not once for each phrase, inside the lambda."""
+    tags, said = annotate.phrase_tags([("a b", ["t"]), ("c", ["u"])], F.col("d"))
+    df = spark.createDataFrame([("C, A B",), ("x",), (None,)], "d string").select(tags.alias("t"), said.alias("p"))
+    assert [(r.t, r.p) for r in df.collect()] == [(["t", "u"], ["a b", "c"]), ([], []), ([], [])]
+    assert "contains(lower(" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
